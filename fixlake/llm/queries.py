@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fixlake.llm import line_dedup, warc
+from fixlake.llm import language_id, line_dedup, quality, warc
 from fixlake.llm.bpe import encode_decode
 from fixlake.llm.common import table
+from fixlake.llm.decontaminate import find_contaminated
+from fixlake.llm.embedding_dedup import embedding_dedup
 from fixlake.llm.secrets import scan_secrets
 from fixlake.llm.simhash import simhash_dedup
 from fixlake.llm.token_counts import token_counts
@@ -38,6 +40,24 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, sf_dir)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_counts": op2_token_counts,
@@ -45,6 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op6_warc": op6_warc,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op6_warc": warc.SQL}

@@ -161,3 +161,16 @@ def simhash_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """(key, fingerprint, component_id) of each row."""
     found = near_components(df, key, text)
     return found.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows, with all their columns, whose key is the smallest of their component; of rows that share it one stays, and
+    all with a null key stay."""
+    marked = near_components(df, key, text, shingle, radius)
+    dropped = marked.where(F.col(key).isNotNull() & (F.col(key) != F.col("component"))).select(F.col(key).alias("__drop")).distinct()
+    kept = df.join(dropped, df[key] == dropped["__drop"], "left_anti")
+    keyed = kept.where(F.col(key).isNotNull())
+    repeated = keyed.groupBy(key).count().where("count > 1").select(F.col(key).alias("__many"))
+    single = keyed.join(repeated, keyed[key] == repeated["__many"], "left_anti")
+    first = keyed.join(repeated, keyed[key] == repeated["__many"], "left_semi").dropDuplicates([key])
+    return single.unionByName(first).unionByName(kept.where(F.col(key).isNull()))
