@@ -1 +1 @@
-"""Spark-native analytics over FIX message logs."""
+"""Analyses over messages."""
