@@ -38,9 +38,12 @@ def tag(number: int) -> Column:
         return F.expr("substring_index(substring(raw, 3), sep, 1)")
     key = f"concat(sep, '{number}=')"
     found = f"IF(locate({key}, raw) > 0, substring_index(substring(raw, locate({key}, raw) + {len(str(number)) + 2}), sep, 1), NULL)"
-    odd = f"regexp_extract(raw, concat('\\\\Q', sep, '\\\\E0*{number}=([^', IF(sep = '^', '\\\\^', sep), ']*)'), 1)"
-    here = f"raw RLIKE concat('\\\\Q', sep, '\\\\E0*{number}=')"
-    return F.expr(f"IF(locate(concat(sep, '0'), raw) = 0, {found}, IF({here}, {odd}, NULL))")  # a tag may have leading zeros
+    # leading zeros in tags, and bytes that are no UTF-8, which would put the positions of characters out
+    wide = "decode(CAST(raw AS BINARY), 'ISO-8859-1')"
+    there = f"concat('\\\\Q', sep, '\\\\E0*{number}=')"
+    value = f"regexp_extract({wide}, concat({there}, '([^', IF(sep = '^', '\\\\^', sep), ']*)'), 1)"
+    odd = f"IF({wide} RLIKE {there}, CAST(encode({value}, 'ISO-8859-1') AS STRING), NULL)"
+    return F.expr(f"IF(locate(concat(sep, '0'), raw) = 0 AND is_valid_utf8(raw), {found}, {odd})")
 
 
 def first(number: int, tags: str = "tags") -> Column:
@@ -54,7 +57,8 @@ def last(number: int, tags: str = "tags") -> Column:
 
 def checksum(text: str = "raw") -> Column:
     """Sum of all bytes before the CheckSum field, modulo 256."""
-    body = f"left(decode(CAST({text} AS BINARY), 'ISO-8859-1'), greatest(0, octet_length({text}) - length(substring_index(substring_index({text}, sep, -2), sep, 1)) - 1))"
+    wide = f"decode(CAST({text} AS BINARY), 'ISO-8859-1')"
+    body = f"left({wide}, greatest(0, length({wide}) - length(substring_index(substring_index({wide}, sep, -2), sep, 1)) - 1))"
     return F.expr(f"aggregate(split({body}, ''), 0, (a, c) -> a + ascii(c)) % 256").cast("int")
 
 
