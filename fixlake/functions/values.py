@@ -12,23 +12,22 @@ _FLOAT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _SPECIAL = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 
 
-def _whole(text: Column, digits: int, most: int) -> Column:
-    """Digits only, leading zeros allowed, at most `most`."""
-    plain = F.regexp_replace(text, "^0+(?=.)", "")
-    number = F.when(text.rlike("^[0-9]+$") & (F.length(plain) <= digits), plain).try_cast("decimal(20,0)")
-    return F.when(number <= F.lit(str(most)).cast("decimal(20,0)"), number)
-
-
 def u32(text: Column) -> Column:
     """Unsigned 32-bit integer as BIGINT; an empty text, a sign and an overflow give null."""
-    return _whole(text, 10, U32_MAX).cast("long")
+    number = F.when(text.rlike("^0*[0-9]{1,10}$"), text.try_cast("long"))
+    return F.when(number <= U32_MAX, number)
+
+
+def _u64(text: Column) -> Column:
+    number = F.when(text.rlike("^0*[0-9]{1,20}$"), text.try_cast("decimal(20,0)"))
+    return F.when(number <= F.lit(str(U64_MAX)).cast("decimal(20,0)"), number)
 
 
 def quantity(text: Column) -> Column:
     """Whole part of a quantity as DECIMAL(20,0), so that all of 64 unsigned bits fit; what follows the first point is cut off unread, and
     a missing whole part counts as 0."""
     whole = F.substring_index(text, ".", 1)
-    return F.when(text != "", F.when(whole == "", F.lit(0).cast("decimal(20,0)")).otherwise(_whole(whole, 20, U64_MAX)))
+    return F.when(text != "", F.when(whole == "", F.lit(0).cast("decimal(20,0)")).otherwise(_u64(whole)))
 
 
 def number(text: Column) -> Column:

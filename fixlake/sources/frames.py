@@ -29,6 +29,13 @@ FRAMES = "source_idx int, source string, range_start long, seq long, offset long
 CODES = ("UnexpectedEof", "InvalidTag", "InvalidBodyLength", "InvalidBeginString")
 
 
+# Digits of an unsigned 32-bit integer
+_TAG = (
+    "0*(?:[0-9]{1,9}|[1-3][0-9]{9}|4[01][0-9]{8}|42[0-8][0-9]{7}|429[0-3][0-9]{6}|4294[0-8][0-9]{5}|42949[0-5][0-9]{4}|429496[0-6][0-9]{3}"
+    "|4294967[01][0-9]{2}|42949672[0-8][0-9]|429496729[0-5])"
+)
+
+
 class Framer:
     """Takes one message at a time from a buffer."""
 
@@ -200,20 +207,22 @@ def native_frames(df: DataFrame, record: str = "record", separator: Column | str
     out = out.withColumn("_t2", F.expr("substring(_w, _p1 + 1, _e2 - _p1 - 1)")).withColumn("_n", u32(F.expr("substring(_w, _e2 + 1, _p2 - _e2 - 1)")))
     out = out.withColumn("_end", F.expr("_p2 + _n")).withColumn("_e3", F.expr("IF(_p2 > 0 AND _end < length(_w), locate('=', _w, int(_end) + 1), 0)"))
     out = out.withColumn("_p3", F.expr("IF(_e3 > 0, locate(sep, _w, _e3 + 1), 0)")).withColumn("_t3", F.expr("substring(_w, int(_end) + 1, _e3 - int(_end) - 1)"))
+    number_2, number_3 = (F.col(c).rlike(f"^{_TAG}$") for c in ("_t2", "_t3"))
     code = (
         F.when(text.isNull() | (F.col("_b") == 0), F.lit("InvalidBeginString"))
         .when((F.col("_p1") == 0) | (F.col("_e2") == 0), F.lit("UnexpectedEof"))
-        .when(u32(F.col("_t2")).isNull(), F.lit("InvalidTag"))
+        .when(~number_2, F.lit("InvalidTag"))
         .when(F.col("_p2") == 0, F.lit("UnexpectedEof"))
-        .when((u32(F.col("_t2")) != 9) | F.col("_n").isNull(), F.lit("InvalidBodyLength"))
+        .when(~F.col("_t2").rlike("^0*9$") | F.col("_n").isNull(), F.lit("InvalidBodyLength"))
         .when(F.col("_e3") == 0, F.lit("UnexpectedEof"))
-        .when(u32(F.col("_t3")).isNull(), F.lit("InvalidTag"))
+        .when(~number_3, F.lit("InvalidTag"))
         .when(F.col("_p3") == 0, F.lit("UnexpectedEof"))
-        .when(u32(F.col("_t3")) != 10, F.lit("InvalidBodyLength"))
+        .when(~F.col("_t3").rlike("^0*10$"), F.lit("InvalidBodyLength"))
     )
     whole = F.expr("left(_w, _p3)")
-    fields = F.split(F.expr("left(_w, _p3 - 1)"), F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")), -1)
-    good_fields = F.forall(fields, lambda x: x.rlike("^[0-9]{1,9}=") | (x.contains("=") & u32(F.substring_index(x, "=", 1)).isNotNull()))
+    # one pass by a regular expression that never backtracks into a field
+    field = F.concat(F.lit(f"^(?:{_TAG}=[^"), F.when(F.col("sep") == "^", F.lit("\\^")).otherwise(F.col("sep")), F.lit("]*+\\Q"), F.col("sep"), F.lit("\\E)++$"))
+    good_fields = F.rlike(whole, field)
     code = F.coalesce(code, F.when(~good_fields, F.lit("InvalidTag")))
     raw = F.when(F.octet_length("_w") == F.length("_w"), whole).otherwise(F.encode(whole, "ISO-8859-1").cast("string"))
     out = out.withColumn("_code", code).withColumn("_raw", F.when(F.col("_code").isNull(), raw))
