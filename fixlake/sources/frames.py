@@ -44,6 +44,7 @@ class Framer:
         s = re.escape(self.sep)
         self.fields = re.compile(rb"(?:[0-9]{1,9}=[^" + s + rb"]*" + s + rb")+")
         self.field = re.compile(rb"([0-9]+)=[^" + s + rb"]*" + s)
+        self.head = re.compile(rb"8=[^" + s + rb"]*" + s + rb"9=([0-9]{1,9})" + s)
 
     def _field(self, data: bytes, at: int) -> tuple[int, int, int] | str:
         """(tag, where the value begins, where the next field begins), or a code."""
@@ -58,6 +59,10 @@ class Framer:
 
     def message(self, data: bytes, at: int) -> int | str:
         """Where the message that begins at the marker ends, or a code."""
+        if head := self.head.match(data, at):  # as messages are; what follows tells what is wrong with any other
+            body_end = head.end() + int(head[1])
+            if data.startswith(b"10=", body_end) and (last := data.find(self.sep, body_end) + 1) and self.fields.fullmatch(data, at, last):
+                return last
         first = self._field(data, at)
         if isinstance(first, str):
             return first
@@ -161,7 +166,7 @@ def ranges(spark: SparkSession, paths: list[str], size: int = RANGE) -> DataFram
             rows.append((i, path, 0, None))
         else:
             rows += [(i, path, a, a + size if a + size < length else None) for a in range(0, max(1, length), size)]
-    return spark.createDataFrame(rows, "source_idx int, source string, start long, stop long").repartition(len(rows), "source_idx", "start")
+    return spark.createDataFrame(rows, "source_idx int, source string, start long, stop long").repartitionByRange(len(rows), "source_idx", "start")
 
 
 def scan(spark: SparkSession, paths: list[str], separator: str, size: int = RANGE, batch: int = 8192) -> DataFrame:
@@ -228,3 +233,17 @@ def native_frames(df: DataFrame, record: str = "record", separator: Column | str
     out = out.withColumn("_code", code).withColumn("_raw", F.when(F.col("_code").isNull(), raw))
     # what a generator makes is not computed again below it, which filters on these columns else would do many times over
     return out.select(*df.columns, "sep", F.inline_outer(F.array(F.struct(F.col("_raw").alias("raw"), F.col("_code").alias("code")))))
+
+
+def count(spark: SparkSession, paths: list[str], separator: str, size: int = RANGE) -> DataFrame:
+    """(source_idx, range_start, n): valid messages of each range, which make no rows here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        framer = Framer(separator)
+        for part in batches:
+            rows = part.to_pylist()
+            n = [sum(code is None for _, _, code in framer.scan(_blocks(r["source"], r["start"]), r["start"], r["stop"])) for r in rows]
+            columns = [pa.array([r["source_idx"] for r in rows], pa.int32()), pa.array([r["start"] for r in rows], pa.int64()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["source_idx", "range_start", "n"])
+
+    return ranges(spark, paths, size).mapInArrow(run, "source_idx int, range_start long, n long")

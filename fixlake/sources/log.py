@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fixlake.functions.tokens import fields
-from fixlake.sources.frames import RANGE, _blocks, file_sizes, native_frames, scan
+from fixlake.sources.frames import RANGE, _blocks, count, file_sizes, native_frames, scan
 from fixlake.sources.layout import SNIFF_WINDOW, LogFormat, sniff
 
 
@@ -61,7 +61,7 @@ def read_log(spark: SparkSession, paths: str | list[str], fmt: LogFormat | None
     fmt = fmt or sniff(head(spark, paths[0]))
     frames = scan(spark, paths, fmt.separator, range_size)
     good = frames.where("code IS NULL")
-    counts = good.groupBy("source_idx", "range_start").agg(F.count(F.lit(1)).alias("n"))
+    counts = count(spark, paths, fmt.separator, range_size)
     # a row for each range, not for each message
     before = Window.orderBy("source_idx", "range_start").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("source_idx", "range_start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
