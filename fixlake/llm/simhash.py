@@ -166,7 +166,11 @@ def simhash_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows, with all their columns, whose key is the smallest of their component; of rows that share it one stays, and
     all with a null key stay."""
-    marked = near_components(df, key, text, shingle, radius)
+    return keep_smallest(df, near_components(df, key, text, shingle, radius), key)
+
+
+def keep_smallest(df: DataFrame, marked: DataFrame, key: str) -> DataFrame:
+    """The rows that `keep_first` keeps, by the components in marked (key, component)."""
     dropped = marked.where(F.col(key).isNotNull() & (F.col(key) != F.col("component"))).select(F.col(key).alias("__drop")).distinct()
     kept = df.join(dropped, df[key] == dropped["__drop"], "left_anti")
     keyed = kept.where(F.col(key).isNotNull())
