@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixlake.functions.graph import shared_folder
-from fixlake.llm import line_dedup, quality, simhash
+from fixlake.llm import line_dedup, near_copies, quality
 from fixlake.llm.bpe import encode_decode
 from fixlake.llm.common import table
 from fixlake.llm.decontaminate import decontaminate
@@ -32,8 +32,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    return near_copies.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
