@@ -158,25 +158,28 @@ def file_sizes(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
     return found
 
 
-def ranges(spark: SparkSession, paths: list[str], size: int = RANGE) -> DataFrame:
-    """(source_idx, source, start, stop): each file in ranges, in order."""
+def ranges(spark: SparkSession, paths: list[str], size: int = RANGE, bases: DataFrame | None = None) -> DataFrame:
+    """(source_idx, source, start, stop): each file in ranges, in order, a task each; with bases (source_idx, start, base), also the range's base."""
     rows = []
     for i, (path, length) in enumerate(file_sizes(spark, paths)):
         if path.lower().endswith(".gz"):
             rows.append((i, path, 0, None))
         else:
             rows += [(i, path, a, a + size if a + size < length else None) for a in range(0, max(1, length), size)]
-    return spark.createDataFrame(rows, "source_idx int, source string, start long, stop long").repartitionByRange(len(rows), "source_idx", "start")
+    every = spark.createDataFrame(rows, "source_idx int, source string, start long, stop long")
+    if bases is not None:
+        every = every.join(bases, ["source_idx", "start"]).select("source_idx", "source", "start", "stop", "base")
+    return every.repartitionByRange(len(rows), "source_idx", "start")
 
 
-def scan(spark: SparkSession, paths: list[str], separator: str, size: int = RANGE, batch: int = 8192) -> DataFrame:
-    """All frames of the files: (source_idx, source, range_start, seq, offset, raw, code); seq counts the valid messages of a range, from 0."""
+def scan(spark: SparkSession, paths: list[str], separator: str, size: int = RANGE, batch: int = 8192, bases: DataFrame | None = None) -> DataFrame:
+    """All frames of the files: (source_idx, source, range_start, seq, offset, raw, code); seq counts the valid messages of a range, from its base or 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         framer = Framer(separator)
         for part in batches:
             for row in part.to_pylist():
-                seq, rows = 0, []
+                seq, rows = row.get("base", 0), []
                 for offset, raw, code in framer.scan(_blocks(row["source"], row["start"]), row["start"], row["stop"]):
                     rows.append((seq if code is None else None, offset, raw, code))
                     seq += code is None
@@ -195,7 +198,7 @@ def scan(spark: SparkSession, paths: list[str], separator: str, size: int = RANG
         ]
         return pa.RecordBatch.from_arrays(columns, names=["source_idx", "source", "range_start", "seq", "offset", "raw", "code"])
 
-    return ranges(spark, paths, size).mapInArrow(run, FRAMES)
+    return ranges(spark, paths, size, bases).mapInArrow(run, FRAMES)
 
 
 def native_frames(df: DataFrame, record: str = "record", separator: Column | str = "\x01") -> DataFrame:

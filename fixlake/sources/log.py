@@ -60,13 +60,12 @@ def read_log(spark: SparkSession, paths: str | list[str], fmt: LogFormat | None
     paths = [spool_stdin() if p == "-" else p for p in ([paths] if isinstance(paths, str) else paths)]
     fmt = fmt or sniff(head(spark, paths[0]))
     frames = scan(spark, paths, fmt.separator, range_size)
-    good = frames.where("code IS NULL")
     counts = count(spark, paths, fmt.separator, range_size)
-    # a row for each range, not for each message
+    # the ranges get their first ordinals before they are read, so that only a row for each range moves and never a message
     before = Window.orderBy("source_idx", "range_start").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("source_idx", "range_start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    messages = good.join(bases, ["source_idx", "range_start"]).select(
-        "source_idx", "source", (F.col("base") + F.col("seq")).alias("ordinal"), "offset", F.octet_length("raw").cast("long").alias("raw_len"),
+    bases = counts.select("source_idx", F.col("range_start").alias("start"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    messages = scan(spark, paths, fmt.separator, range_size, bases=bases).where("code IS NULL").select(
+        "source_idx", "source", F.col("seq").alias("ordinal"), "offset", F.octet_length("raw").cast("long").alias("raw_len"),
         F.col("raw").cast("string").alias("raw"), F.lit(fmt.separator).alias("sep"),
     )
     return Log(messages, frames.where("code IS NOT NULL").select("source_idx", "source", "offset", "code"), fmt)
