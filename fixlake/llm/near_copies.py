@@ -3,14 +3,16 @@
 At that similarity 64 bits differ in about ten places, which no small radius covers and no few bands separate. Fingerprints here
 have 1,024 bits of the distinct shingles, compared exactly in tiles by exclusive-or and bit counts as in `simhash`; a pair of tiles
 whose population counts differ by more than the radius is skipped. Two sets of Jaccard similarity s differ in about
-acos(2 s / (1 + s)) / pi of the bits: 155 of 1,024 at 0.8, with a standard deviation of 11.5. `RADIUS` is a little above that, so
-the estimate decides; pairs near the threshold can fall on either side of it.
+acos(2 s / (1 + s)) / pi of the bits: 155 of 1,024 at 0.8, with a standard deviation of 11.5. Fingerprints only propose pairs; a pair
+is linked if the Jaccard similarity of its two sets of 64-bit shingle hashes is 0.8 or more. Pairs are proposed in two rounds: first a
+spanning forest of each block's pairs within `RADIUS`, then all pairs of a block within the wide radius (five standard
+deviations above what any sizes of two sets at 0.8 are expected to differ in) that the links so far leave in different components.
 
 The tiles of the grid are laid over `KEYS` keys, each a hash of three of the set's 16 least permuted hashes. Two sets share a key with
 probability s cubed, so at 0.8 about one pair in a hundred shares none. A passage that is a share f of a text makes a key hot for a share f cubed
 only. Within a block, a few pivot rows are compared with all others first; tiles whose rows are all joined to one pivot already need
 no comparison, so a block of copies costs its size and not its square. A key with more than `TILE` fingerprints is spread over
-tasks tile pair by tile pair. Only a spanning forest of each block's links is kept.
+tasks tile pair by tile pair.
 
 Defined cases: texts are lower-cased (A-Z) and split at ASCII white space; fewer words than a shingle's are one shingle; null and
 empty texts and those of white space only have the empty set and are alike; equal sets link; a document id that is repeated
@@ -36,6 +38,10 @@ SHINGLE = 5
 #: 64-bit words of a fingerprint.
 WORDS = 16
 RADIUS = 166
+#: The wide radius, for sets of fewer than `FEW` shingles and for others.
+FEW, WIDE_FEW, WIDE = 5, 256, 226
+#: The least Jaccard similarity of a link, as a fraction of whole numbers.
+SIMILAR = (4, 5)
 KEYS = 8
 TILE = 32768
 #: Rows of a tile that are compared at once.
@@ -88,11 +94,17 @@ def block_keys(least: np.ndarray) -> list[int]:
     return _mix(a ^ _mix(b ^ _mix(c + at.astype(np.uint64)))).view(np.int64).tolist()
 
 
-def describe(text: str | None) -> tuple[bytes, bytes, list[int]]:
-    """(digest of the set of shingles, fingerprint, block keys)."""
+def describe(text: str | None) -> tuple[bytes, bytes, list[int], int]:
+    """(digest of the set of shingles, fingerprint, block keys, shingles)."""
     hashes = shingle_hashes(text)
     fp, least = wide_fingerprint(hashes)
-    return xxhash.xxh3_128_digest(hashes.tobytes()), fp.astype("<u8").tobytes(), block_keys(least)
+    return xxhash.xxh3_128_digest(hashes.tobytes()), fp.astype("<u8").tobytes(), block_keys(least), len(hashes)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of distinct hashes are alike enough."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return SIMILAR[1] * both >= SIMILAR[0] * (len(x) + len(y) - both)
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -179,16 +191,98 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     return dealt(keyed, "k", "node", tile).mapInArrow(run, "src long, dst long")
 
 
+def cross_pairs(fps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, groups: np.ndarray, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs of different groups within the wide radius whose sizes allow the similarity (of two sides, across)."""
+    two = bool(sides.min() != sides.max())
+    order = lambda rows: rows[np.lexsort((groups[rows], sizes[rows]))]
+    left = order(np.flatnonzero(sides == sides.min()))
+    right = order(np.flatnonzero(sides == sides.max())) if two else left
+    num, den = SIMILAR
+    for a in range(0, len(left), step):
+        rows = left[a : a + step]
+        for b in range(0 if two else a, len(right), step):
+            cols = right[b : b + step]
+            if den * sizes[rows[-1]] < num * sizes[cols[0]] or den * sizes[cols[-1]] < num * sizes[rows[0]]:
+                continue
+            if groups[rows].min() == groups[cols].max() and groups[rows].max() == groups[cols].min():
+                continue
+            i, j = _near(fps[rows], fps[cols], WIDE_FEW if min(sizes[rows[0]], sizes[cols[0]]) < FEW else WIDE)
+            i, j = rows[i], cols[j]
+            less, more = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+            new = (groups[i] != groups[j]) & (den * less >= num * more)
+            new &= (less < FEW) | (distances(fps[i], fps[j]) <= WIDE)
+            if not two and a == b:
+                new &= i < j
+            yield i[new], j[new]
+
+
+def wide_pairs(nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """(src, dst) of nodes (node, fp, keys, size, group): all pairs of a block that `cross_pairs` finds."""
+    keyed = nodes.select("node", "group", F.explode(F.array_distinct("keys")).alias("k"))
+    mixed = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("k", "n")
+    mixed = checkpointed(mixed)
+    rows = keyed.join(mixed.select("k"), "k", "left_semi").select("node", "k").distinct().join(nodes.select("node", "fp", "size", "group"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in blocks(batches, ["k", "_i", "_j"]):
+            key, i, j, side, node, size, group = (table.column(c).to_numpy() for c in ("k", "_i", "_j", "_side", "node", "size", "group"))
+            fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype="<u8").astype(np.uint64, copy=False).reshape(-1, WORDS)
+            ends = bounds([key, i, j])
+            for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                part = slice(start, end)
+                if group[part].min() == group[part].max():
+                    continue
+                for a, b in cross_pairs(fps[part], side[part], size[part], group[part]):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(node[a + start]), pa.array(node[b + start])], names=["src", "dst"])
+
+    return dealt(rows, "k", "node", tile, mixed).mapInArrow(run, "src long, dst long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct pairs (src, dst) that have texts (node, text) whose sets of shingles are alike enough."""
+    pairs = checkpointed(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src < dst").distinct())
+    wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    texts = texts.join(wanted, "node", "left_semi").distinct()
+    first, second = (texts.select(F.col("node").alias(c), F.col("text").alias(t)) for c, t in (("src", "a"), ("dst", "b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] = {}  # of the texts seen last, as pairs come in the order of one end
+
+        def hashes(text: str | None) -> np.ndarray:
+            text = text or ""
+            if text not in kept:
+                if len(kept) >= 64:
+                    kept.pop(next(iter(kept)))
+                kept[text] = shingle_hashes(text)
+            return kept[text]
+
+        for batch in batches:
+            good = [similar(hashes(a), hashes(b)) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield batch.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    joined = pairs.join(first, "src").join(second, "dst").select("src", "dst", "a", "b")
+    return checkpointed(joined.mapInArrow(run, "src long, dst long"))
+
+
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(key, component) of each row; the component is the smallest key reachable, null for a null key."""
-    marked = checkpointed(per_row(df, [key, text], lambda k, t: (k, *describe(t)), f"{key} long, same binary, fp binary, keys array<long>"))
+    marked = checkpointed(per_row(df, [key, text], lambda k, t: (k, *describe(t)), f"{key} long, same binary, fp binary, keys array<long>, size long"))
     named = marked.where(F.col(key).isNotNull())
-    # equal sets have equal fingerprints and keys
-    nodes = checkpointed(named.groupBy("same").agg(F.min(key).alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    # equal sets have equal fingerprints, keys and sizes
+    nodes = named.groupBy("same").agg(F.min(key).alias("node"), *[F.first(c).alias(c) for c in ("fp", "keys", "size")])
+    nodes = checkpointed(nodes)
     rows = named.select(key, "same").join(nodes.select("same", "node"), "same")
+    # a node's id can have several texts; its sets are tied together in any case, so any of them may link
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
+    links = verified(near_links(nodes, radius), texts)
     # equal sets link to their node; a key with several texts ties their sets together
-    links = near_links(nodes, radius).union(rows.where(F.col(key) != F.col("node")).select(F.col("node").alias("src"), F.col(key).alias("dst")))
+    links = links.union(rows.where(F.col(key) != F.col("node")).select(F.col("node").alias("src"), F.col(key).alias("dst")))
     found = connected_components(links)
+    grouped = nodes.join(found, "node", "left").select("node", "fp", "keys", "size", F.coalesce("component", "node").alias("group"))
+    more = verified(wide_pairs(grouped), texts)
+    if not more.isEmpty():
+        found = connected_components(links.union(more))
     return marked.select(key).join(found, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("component"))
 
 

@@ -106,3 +106,20 @@ def test_recall_near_the_threshold():
         else:
             wrong, low = wrong + found, low + 1
     assert hit / total >= 0.9 and wrong / low <= 0.02
+
+
+def test_pairs_at_the_threshold_are_decided_exactly(spark):
+    """Pairs of exactly 0.8 link whatever their size, pairs just below do not; the fingerprints of many lie on the other side."""
+    rng, rows = random.Random(8), []
+    for trial in range(40):
+        for common, more, fewer in ((4, 1, 0), (8, 1, 1), (20, 5, 0), (28, 7, 0), (40, 5, 5), (120, 30, 0), (15, 4, 0), (39, 5, 5), (300, 80, 0)):
+            words = [f"w{trial}-{common}-{more}-{rng.random()}" for _ in range(common + 4 + more + fewer)]
+            at = len(rows)
+            rows += [(at, " ".join(words[fewer:])), (at + 1, " ".join(words[: len(words) - more]))]
+    sets = {i: plain_shingles(t) for i, t in rows}
+    want = {i: alike(sets[i], sets[i + 1]) >= 0.8 for i in range(0, len(rows), 2)}
+    assert len(set(want.values())) == 2
+    meet = {i: bool(set(near_copies.describe(rows[i][1])[2]) & set(near_copies.describe(rows[i + 1][1])[2])) for i in want}
+    found = {r.doc_id: r.component for r in near_copies.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i + 1] == (i if want[i] and meet[i] else i + 1) for i in want)
+    assert sum(meet[i] for i in want if want[i]) >= 0.97 * sum(want.values())
