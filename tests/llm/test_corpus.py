@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -89,6 +90,16 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.find_contaminated(df, benchmark.limit(0)).where("contaminated").count() == 0 and decontaminate.find_contaminated(df.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_misses_no_placement():
+    """Any fifth of an item's words can be substituted, and every fifth of an item of any length."""
+    for n in range(5, 61):
+        benchmark = decontaminate.Benchmark([(1, " ".join(f"i{k}" for k in range(n)))])
+        places = itertools.combinations(range(n), n // 5) if n < 17 else (range(at, n, 5) for at in range(n % 5, 5))
+        for gone in places:
+            words = decontaminate.Words().hashes("before it " + " ".join(f"x{k}" if k in gone else f"i{k}" for k in range(n)) + " after it")
+            assert [i for i, _, _ in benchmark.check(words)] == [1], (n, list(gone))
+
+
 def test_decontamination_in_parts(spark, monkeypatch):
     items = [(i, " ".join(f"i{i}w{k}" for k in range(20))) for i in range(6)]
     df = spark.createDataFrame([(0, "x " + items[1][1] + " y " + items[4][1]), (1, "clean text")], "doc_id long, text string")
