@@ -2,7 +2,7 @@
 
 The base kinds are assign (a value given to a password, token, key or the like), access (an access key's identifier) and hex
 (a long run of lower-case hexadecimal digits). Beyond them, a run of at least `MIN_RUN` characters of the base-64 and URL
-alphabets that mixes digits and letters is a span of kind random if it has at most `MAX_RATIO` characters per token under a
+alphabets is a span of kind random if it, or a part of it that is as long, has at most `MAX_RATIO` characters per token under a
 public byte-level vocabulary: words take few tokens and random strings many. Known digests (hexadecimal runs of a digest's length),
 UUIDs, dates, numbers, addresses and dotted, underscored or slashed identifiers of ordinary words are excluded, as
 is any run that a base span touches. Base spans always stay.
@@ -48,15 +48,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def digest(run: str) -> bool:
+    return bool(_ANY_HEX.fullmatch(run)) and len(run) in DIGEST_LENGTHS
+
+
 def ordinary(run: str) -> bool:
-    """Whether a run is a known digest or an identifier."""
-    if _UUID.search(run) or _ANY_HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS:
-        return True
-    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+    """Whether a run is a known digest, a number, or an identifier of words and numbers."""
+    if digest(run) or not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
         return True
     return all(_WORD_OR_NUMBER.fullmatch(part) for part in _SEPARATORS.split(run) if part)
 
 
+def suspects(run: str) -> list[str]:
+    """What of a run the ratio is taken over: all but its UUIDs, unless that is ordinary; each stretch of parts between separators
+    that are no words or numbers; and each long part that has a letter and is no digest, as random letters look like a word."""
+    rest = _UUID.sub("/", run).strip("/_=+-") if _UUID.search(run) else run
+    found, stretch = [] if ordinary(rest) else [rest], []
+    for part in [*_SEPARATORS.split(rest), ""]:
+        if part and not _WORD_OR_NUMBER.fullmatch(part) and not digest(part):
+            stretch.append(part)
+        else:
+            found += ["/".join(stretch)] if stretch and not ordinary("/".join(stretch)) else []
+            stretch = []
+        if re.search("[A-Za-z]", part) and not digest(part):
+            found.append(part)
+    return [x for x in found if len(x) >= MIN_RUN]
+
+
 class Scanner:
     def __init__(self, coder: BytePairs, max_ratio: float):
         self.coder, self.max_ratio = coder, max_ratio
@@ -64,9 +82,9 @@ class Scanner:
     def random_spans(self, text: str, taken: list[tuple]) -> list[tuple[int, int, str, int]]:
         found = []
         for m in _RUN.finditer(text):
-            if any(m.start() < end and start < m.end() for start, _, _, end in taken) or ordinary(m[0]):
+            if any(m.start() < end and start < m.end() for start, _, _, end in taken):
                 continue
-            if len(m[0]) <= self.max_ratio * len(self.coder.encode(m[0])):
+            if any(len(x) <= self.max_ratio * len(self.coder.encode(x)) for x in suspects(m[0])):
                 found.append((m.start(), 3, "random", m.end()))
         return found
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 import public_tokenizers
 import pytest
@@ -116,3 +118,17 @@ def test_base_spans_stay(spark):
 @given(st.text(alphabet="tokensecret:= \"'abcdef0123456789AKI", max_size=120))
 def test_base_spans_of_any_text(text):
     assert secrets.base_spans(text) == plain_base(text)
+
+
+def test_random_parts_of_runs_are_found():
+    """Random letters without a digit, and secrets joined to a UUID or behind a path of words; words, UUIDs and digests are none."""
+    rng = random.Random(9)
+    scanner = secrets.Scanner(secrets.BytePairs(secrets.read_ranks(secrets.public_tokenizers.path(secrets.VOCABULARY))), secrets.MAX_RATIO)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    low, up, dig, uuid = string.ascii_lowercase, string.ascii_uppercase, string.digits, "123e4567-e89b-12d3-a456-426614174000"
+    for _ in range(50):
+        key = draw(low + up + dig, 24)
+        for run in (draw(low + up, 32), draw(low, 32), draw(up, 32), f"{uuid}/{key}", f"{key}={uuid}", f"configuration/production/service/{key}"):
+            assert scanner.random_spans(run, []) == [(0, 3, "random", len(run))], run
+    for run in (uuid, f"user/{uuid}/settings", "configuration/production/service", "internationalization", draw(dig, 30), "-" * 40, hashlib.sha1(b"x").hexdigest().upper()):
+        assert scanner.random_spans(run, []) == [], run
