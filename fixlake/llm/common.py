@@ -18,23 +18,39 @@ def fold(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))
 
 
+#: Bytes of a batch that are made into Python objects at once; a row of more is a batch by itself.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `most` bytes, or of one row."""
+    todo: list[pa.RecordBatch] = []
+    for batch in batches:
+        todo.append(batch)
+        while todo:
+            part = todo.pop()
+            if part.num_rows < 2 or part.get_total_buffer_size() <= most or part.nbytes <= most:
+                if part.num_rows:
+                    yield part
+                continue
+            half = part.num_rows // 2
+            todo += [part.slice(half), part.slice(0, half)]
+
+
 def per_row(
     df: DataFrame, columns: list[str], func: Callable[..., tuple], schema: str, setup: Callable[[], dict] | None = None
 ) -> DataFrame:
     """Apply func(*values, **setup()) to each row's `columns`; it returns a tuple of the schema's fields.
 
-    Rows go through Arrow in bounded batches; `setup` runs once a task.
+    Rows go through Arrow in batches that are bounded in bytes; `setup` runs once a task.
     """
     wanted = df.select(*[F.col(c) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else {}
-        for batch in batches:
-            if batch.num_rows:
-                rows = [func(*values, **state) for values in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(fields)], names=fields.names
-                )
+        for batch in bounded(batches):
+            rows = [func(*values, **state) for values in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(fields)], names=fields.names)
 
     fields = arrow_schema(schema)
     return wanted.mapInArrow(run, schema)
