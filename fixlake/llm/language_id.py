@@ -9,8 +9,12 @@ The predicted language has the lowest cross-entropy per character of the whole t
 regression on the root of the whole text's margin between the two best languages, fitted on sample rows that the models did not
 learn from. A text is rejected (column rejected) if its score is below `REJECT`, or if its cross-entropy lies above what texts of the language have.
 
-Learning takes a bounded sample: of each language at most `PER_LANGUAGE` rows with the smallest hashes of their ids, texts of at most `MAX_CHARS`
-characters, for at most `LANGUAGES` languages, the most frequent ones. Rows whose crc32(id) modulo `FOLDS` is `HELD` are held out.
+Learning takes a bounded sample, `SAMPLE` rows in all, shared evenly among all languages that occur, at most `PER_LANGUAGE` and at least `LEAST` rows of each: those with the
+smallest hashes of their ids; and of each text the window of `PIECE` characters that a hash of the id chooses among all of its windows. No language is left
+out. Rows whose crc32(id) modulo `FOLDS` is `HELD` are held out.
+
+Words are runs of letters, and each is put into lower case by itself, so that its letters do not depend on where a text is cut for reading. A word of any length is scored as
+a whole: a long one in steps that carry the symbols before them.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a null language or id is not learnt from; with one language only, it is predicted
 for every text with letters, with score 1; with none, every text is `und`; repeated rows get the same prediction; rows with a null id are not held out;
@@ -30,80 +34,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fixlake.llm.common import arrow_schema, fold
-from fixlake.llm.quality import Logistic
+from fixlake.llm.common import arrow_schema, bounded, fold
+from fixlake.llm.quality import Logistic, window
 
 FOLDS, HELD = 4, 2
 ORDER = 5
-PER_LANGUAGE = 400
-MAX_CHARS = 20_000
-LANGUAGES = 400
+PER_LANGUAGE, LEAST, SAMPLE = 400, 10, 20_000
+PIECE = 10_000
 REJECT = 0.5
-#: Log-probabilities of words, by language, that a task remembers; a full memory is emptied.
+#: Log-probabilities of words by language, and characters of words, that a task remembers; a full memory is emptied.
 MEMORY = 2_000_000
-#: Characters of a word that are scored by themselves; longer ones are cut into such pieces.
-PIECE = 64
-#: Words taken from a long text at a time.
-CHUNK = 1 << 17
+#: Characters of a text that are searched for words at a time, and symbols that are scored at a time.
+SEGMENT, STEP = 1 << 20, 1 << 18
 
 #: Texts that are scored together.
 GROUP = 512
 
-_LETTERS = regex.compile(r"\p{L}+")
+_LETTERS, _OTHER = regex.compile(r"\p{L}+"), regex.compile(r"\P{L}")
 _ASCII_LETTERS = re.compile(r"[A-Za-z]+")
-_BEGIN, _END = 2, 3
+#: Marks at the beginning and the end of a word, which no letter is.
+_BEGIN, _END = "\x02", "\x03"
 _BASE = np.uint64(0x100000001B3)
 
 
-def word_counts(text: str) -> Counter:
+def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
+    """A text in segments of about `size` characters that end between words."""
+    at = 0
+    while at < len(text):
+        gap = _OTHER.search(text, at + size) if at + size < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
+def word_counts(text: str, size: int = SEGMENT) -> Counter:
     """The words of a text in lower case, with their numbers."""
     pattern = _ASCII_LETTERS if text.isascii() else _LETTERS
-    if len(text) <= 8 * CHUNK:
-        found = Counter(pattern.findall(text.lower()))
-    else:
-        found, part = Counter(), []
-        for match in pattern.finditer(text):
-            part.append(match[0].lower())
-            if len(part) == CHUNK:
-                found.update(part)
-                part = []
-        found.update(part)
-    if any(len(w) > PIECE for w in found):
-        cut: Counter = Counter()
-        for word, n in found.items():
-            for at in range(0, len(word), PIECE):
-                cut[word[at : at + PIECE]] += n
-        return cut
-    return found
+    found: Counter = Counter()
+    for part in segments(text, size):
+        found.update(pattern.findall(part))
+    lower: Counter = Counter()
+    for word, n in found.items():
+        lower[word.lower()] += n
+    return lower
 
 
 class Grams:
-    """The n-grams of words, as hashes: for each symbol of each word, that of the n symbols up to it."""
-
-    def __init__(self, words: list[str]):
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        starts = np.concatenate(([0], np.cumsum(sizes + 2)[:-1])) if len(words) else np.zeros(0, dtype=np.int64)
-        total = int((sizes + 2).sum())
-        self.symbols = np.zeros(total, dtype=np.uint64)
-        self.place = np.arange(total) - np.repeat(starts, sizes + 2)
-        self.word = np.repeat(np.arange(len(words)), sizes + 2)
-        inner = (self.place > 0) & (self.place <= np.repeat(sizes, sizes + 2))
-        self.symbols[inner] = codes + np.uint64(16)
-        self.symbols[self.place == 0] = _BEGIN
-        self.symbols[self.place == np.repeat(sizes, sizes + 2) + 1] = _END
+    """The n-grams of words, as hashes: for each symbol of each word, that of the n symbols up to it. Symbols are given as parts of marked words: `of` tells
+    which word a part belongs to, `first` where it begins in it, and `known` how many of its symbols only serve as the context of the others."""
+
+    def __init__(self, parts: list[str], of: np.ndarray, first: np.ndarray, known: np.ndarray):
+        self.symbols = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        starts = np.cumsum(sizes) - sizes
+        inner = np.arange(len(self.symbols)) - np.repeat(starts, sizes)
+        self.place = inner + np.repeat(first, sizes)
+        self.word = np.repeat(of, sizes)
+        self.scored = inner >= np.repeat(known, sizes)
 
     def hashes(self, n: int, shift: int = 0) -> np.ndarray:
         """At each symbol, the hash of the n symbols that end `shift` symbols before it; meaningless where a word has fewer."""
         out = np.full(len(self.symbols), np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1), dtype=np.uint64)
         for back in range(n - 1 + shift, shift - 1, -1):
             moved = np.zeros_like(self.symbols)
-            moved[back:] = self.symbols[: len(self.symbols) - back]
+            moved[back:] = self.symbols[: max(0, len(self.symbols) - back)]
             out = (out ^ moved) * _BASE
             out ^= out >> np.uint64(31)
         return out
 
 
+def grams_of(words: list[str], order: int, step: int = STEP) -> Iterator[Grams]:
+    """The words' grams in steps of about `step` symbols, each symbol scored once, whatever the length of a word."""
+    parts, of, first, known, size = [], [], [], [], 0
+    for i, word in enumerate(words):
+        marked = _BEGIN + word + _END
+        at = 1  # the first mark is never predicted
+        while at < len(marked):
+            begin, end = max(0, at - order + 1), min(len(marked), at + step)
+            parts.append(marked[begin:end])
+            of.append(i)
+            first.append(begin)
+            known.append(at - begin)
+            size += end - begin
+            at = end
+            if size >= step:
+                yield Grams(parts, *(np.array(x, dtype=np.int64) for x in (of, first, known)))
+                parts, of, first, known, size = [], [], [], [], 0
+    if parts:
+        yield Grams(parts, *(np.array(x, dtype=np.int64) for x in (of, first, known)))
+
+
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
     if len(keys) == 0:
         return np.full(len(wanted), missing)
@@ -115,7 +135,8 @@ class KneserNey:
     def __init__(self, counts: Counter, alphabet: int, order: int = ORDER):
         self.order, self.alphabet = order, alphabet
         words = sorted(counts)
-        grams = Grams(words)
+        # all at once: a sample's texts are windows of bounded size
+        grams = next(grams_of(words, order, step=1 << 62), None) or Grams([], *[np.zeros(0, dtype=np.int64)] * 3)
         weight = np.array([counts[w] for w in words], dtype=np.float64)[grams.word] if words else np.zeros(0)
         #: For each order, n-grams' hashes and discounted probabilities, contexts' hashes and weights of the order below.
         self.tables = []
@@ -142,15 +163,14 @@ class KneserNey:
             self.tables.append((keys, probability, contexts, discount * kinds / total))
 
     def log_probabilities(self, grams: Grams, words: int, hashes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Sum of the natural logarithms over each word's symbols."""
+        """Sum of the natural logarithms over the symbols of each word that these grams score."""
         p = np.full(len(grams.symbols), 1.0 / self.alphabet)
         for n, (keys, probability, contexts, weight) in enumerate(self.tables, 1):
             gram, context = hashes[n - 1]
             use = grams.place >= max(1, n - 1)
             found = _looked_up(keys, probability, gram[use], 0.0) + _looked_up(contexts, weight, context[use], 1.0) * p[use]
             p[use] = found
-        scored = grams.place >= 1
-        return np.bincount(grams.word[scored], weights=np.log(p[scored]), minlength=words)
+        return np.bincount(grams.word[grams.scored], weights=np.log(p[grams.scored]), minlength=words)
 
 
 class Model:
@@ -163,6 +183,7 @@ class Model:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.size = 0
         self.rows = np.zeros((0, len(self.names)))
 
     def __getstate__(self) -> dict:
@@ -175,18 +196,20 @@ class Model:
     def _learn(self, counters: list[Counter]) -> None:
         """Make sure that the log-probabilities of these words are known."""
         new = list(set().union(*counters).difference(self.place))
-        if new and (len(self.place) + len(new)) * len(self.names) > MEMORY:
+        if new and ((len(self.place) + len(new)) * len(self.names) > MEMORY or self.size > 8 * MEMORY):
             self._forget()
             new = list(set().union(*counters))
-        found = [self.rows[: len(self.place)]]
-        for at in range(0, len(new), 1 << 14):
-            part = new[at : at + (1 << 14)]
-            grams = Grams(part)
-            hashes = [(grams.hashes(n), grams.hashes(n - 1, 1)) for n in range(1, max(m.order for m in self.models) + 1)]
-            found.append(np.stack([m.log_probabilities(grams, len(part), hashes) for m in self.models], axis=1))
-        if new:
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.rows = np.concatenate(found)
+        self.size += sum(map(len, new))
+        if not new:
+            return
+        order, rows = max(m.order for m in self.models), np.zeros((len(new), len(self.models)))
+        for grams in grams_of(new, order):
+            hashes = [(grams.hashes(n), grams.hashes(n - 1, 1)) for n in range(1, order + 1)]
+            a, b = int(grams.word[0]), int(grams.word[-1]) + 1
+            grams.word = grams.word - a
+            rows[a:b] += np.stack([m.log_probabilities(grams, b - a, hashes) for m in self.models], axis=1)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.rows = np.concatenate([self.rows[: len(self.place) - len(new)], rows])
 
     def entropies(self, texts: list[str | None]) -> list[tuple[np.ndarray, int] | None]:
         """For each text, nats per symbol under each language, and the number of symbols; None without letters."""
@@ -247,18 +270,20 @@ class Model:
             self.regression = Logistic(a, b, np.full(len(a), 1 / len(a)), ridge=1e-4)
 
 
-def sample(docs: DataFrame, key: str, text: str, lang: str, per_language: int, max_chars: int) -> list[tuple[str, str]]:
-    """Bounded (language, text) rows, in the order of their ids' hashes."""
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    rows = rows.where("k IS NOT NULL AND l IS NOT NULL AND t IS NOT NULL").where(fold(F.col("k"), FOLDS) != HELD).where(F.length("t") <= max_chars)
-    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
+def sample(docs: DataFrame, key: str, text: str, lang: str, per_language: int) -> list[tuple[str, str]]:
+    """Bounded (language, window of text) rows, in the order of their ids' hashes."""
+    key_ = F.col(key).cast("long")
+    rows = docs.select(key_.alias("k"), F.col(lang).alias("l"), window(F.col(text), key_, PIECE, 19).alias("t"))
+    rows = rows.where("k IS NOT NULL AND l IS NOT NULL AND t IS NOT NULL").where(fold(F.col("k"), FOLDS) != HELD)
+    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy("l").collect()  # a row for each language
     if not sizes:
         return []
+    share = min(per_language, max(LEAST, SAMPLE // len(sizes)))
     rows = rows.withColumn("h", F.xxhash64(F.lit(11), "k"))
-    cut = F.create_map(*[F.lit(v) for r in sizes for v in (r["l"], min(1 << 30, int((1 << 30) * 2 * per_language / r["n"]) + 1))])
-    rows = rows.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(cut, F.col("l")))
+    cut = docs.sparkSession.createDataFrame([(r["l"], min(1 << 30, int((1 << 30) * 2 * share / r["n"]) + 1)) for r in sizes], "l string, cut long")
+    rows = rows.join(F.broadcast(cut), "l").where(F.pmod("h", F.lit(1 << 30)) < F.col("cut"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "k", "t"))
-    chosen = rows.withColumn("r", rank).where(F.col("r") <= per_language).collect()  # bounded by languages, rows and characters
+    chosen = rows.withColumn("r", rank).where(F.col("r") <= share).select("l", "r", "t").collect()  # bounded by SAMPLE, or LEAST rows of each language
     return [(r["l"], r["t"]) for r in sorted(chosen, key=lambda r: (r["l"], r["r"]))]
 
 
@@ -278,8 +303,8 @@ def fit(rows: list[tuple[str, str]], order: int = ORDER) -> Model:
     return model
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> Model:
-    return fit(sample(docs, key, text, lang, per_language, max_chars))
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+    return fit(sample(docs, key, text, lang, per_language))
 
 
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,7 +313,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     schema = f"{key} long, lang_pred string, score double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             for at in range(0, batch.num_rows, GROUP):
                 part = batch.slice(at, GROUP)
                 found = held.value.predict(part.column(1).to_pylist())
