@@ -1,16 +1,18 @@
 """Compression classifier of quality.
 
-Two zstandard dictionaries are built from good and from bad labelled texts. A text is compressed in blocks with each; logistic
-regression turns the difference of the compressed sizes, over their sum, into a calibrated score, which also takes the compression
-ratio and the text's size into account, as the difference shrinks for texts that repeat themselves.
-
-Learning takes a bounded sample: at most `PER_CLASS` rows of each class, those of the smallest hashes of their ids, with
-texts of at most `MAX_CHARS` characters. Half of it builds the dictionaries, the other half calibrates, weighted by the classes' shares in all
-training labels. Rows whose crc32(id) modulo `FOLDS` is 0 are held out of both. Scoring reads whole texts and nothing but the text.
-
-Defined cases: a null text counts as empty, an empty one gets the share of good labels as its score; an id with contradicting labels, a null
-label or a null id is not learnt from; with one class only in the training labels, the score is that class's share; without any it is 0.5;
-repeated rows get the same score; rows with a null id are not held out; an empty table gives an empty result; other columns are ignored.
+Zstandard dictionaries of `DICTIONARIES` sizes are built from good and from bad labelled texts. A text is compressed in blocks with each; the difference of a
+pair's compressed sizes, divided by the text's size, is its feature. A short text has little to compress, so `PRIOR_BYTES` bytes with the difference that training texts have
+on average are added to each text. Logistic regression on the differences, and on nothing else, gives a calibrated score.
+
+Learning takes a bounded sample: at most `PER_CLASS` rows of each class, those of the smallest hashes of their ids, and of each text the window of
+`PIECE` characters that a hash of the id chooses among all of its windows. Half of it builds the dictionaries, the other half calibrates, weighted by the
+classes' shares in all training labels. Where a class has fewer than `TRAINER` blocks, or they come to less than eight dictionaries' bytes, the trainer of
+dictionaries has too little to work on, and the dictionary is an even share of each block; this concerns fitting only. Rows whose crc32(id) modulo `FOLDS` is 0 are
+held out of both. Scoring reads whole texts and nothing but the text.
+
+Defined cases: a null text counts as empty, an empty one gets the score of the average difference; an id with contradicting labels, a null
+label or a null id is not learnt from; with one class only in the training labels, or fewer than two texts of a class, the score is the share of good labels; without
+any it is 0.5; repeated rows get the same score; rows with a null id are not held out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,19 +22,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixlake.llm.common import fold, per_row
+from fixlake.llm.common import bounded, fold, per_row
 
 FOLDS = 5
 PER_CLASS = 1200
-MAX_CHARS = 20_000
+PIECE = 20_000
 CUT = 0.3
-#: Bytes of a dictionary, and of the blocks that are compressed by themselves.
-DICTIONARY = 32 << 10
-BLOCK = 2048
+#: Bytes of the dictionaries, and of the blocks that are compressed by themselves.
+DICTIONARIES = (16 << 10, 32 << 10, 64 << 10)
+BLOCK = 256
 LEVEL = 3
+PRIOR_BYTES = 64
+TRAINER = 64
 
 
 def _blocks(text: str | None) -> Iterator[memoryview]:
@@ -41,24 +45,26 @@ def _blocks(text: str | None) -> Iterator[memoryview]:
         yield data[at : at + BLOCK]
 
 
-def build_dictionary(texts: list[str]) -> bytes:
-    """The trainer's dictionary; where texts are too few for it, an even share of each of them."""
+def window(text: Column, key: Column, size: int, salt: int) -> Column:
+    """The window of `size` characters of a text that a hash of the key chooses among all of them; a shorter text is its own window."""
+    windows = F.greatest(F.ceil(F.length(text) / size), F.lit(1))
+    return F.substring(text, (F.pmod(F.xxhash64(F.lit(salt), key), windows) * size + 1).cast("int"), F.lit(size))
+
+
+def build_dictionary(texts: list[str], size: int) -> bytes:
+    """The trainer's dictionary, or an even share of each block where there are too few."""
     samples = [bytes(b) for t in texts for b in _blocks(t)]
-    total = sum(map(len, samples))
-    if len(samples) >= 64 and total >= 8 * DICTIONARY:
-        try:
-            return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    share = max(64, DICTIONARY // max(1, len(samples)))
-    return b"".join(s[:share] for s in samples)[:DICTIONARY]
+    if len(samples) >= TRAINER and sum(map(len, samples)) >= 8 * size:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    share = max(64, size // max(1, len(samples)))
+    return b"".join(s[:share] for s in samples)[:size]
 
 
 class Compressors:
-    """Compressed sizes under the dictionaries of good and of bad texts."""
+    """Compressed sizes under pairs of dictionaries, of good and of bad texts."""
 
-    def __init__(self, good: bytes, bad: bytes):
-        self.each = [self._with(d) for d in (good, bad)]
+    def __init__(self, pairs: list[tuple[bytes, bytes]]):
+        self.pairs = [(self._with(good), self._with(bad)) for good, bad in pairs]
 
     @staticmethod
     def _with(data: bytes) -> zstandard.ZstdCompressor:
@@ -66,14 +72,14 @@ class Compressors:
         kept.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(dict_data=kept, write_content_size=False, write_dict_id=False)
 
-    def sizes(self, text: str | None) -> tuple[int, int, int]:
-        """Bytes compressed with the good and with the bad dictionary, and bytes of the text."""
-        good = bad = size = 0
+    def differences(self, text: str | None) -> tuple[np.ndarray, int]:
+        """By how many bytes the bad dictionary of each pair makes the text larger than the good one, and the text's bytes."""
+        size, found = 0, np.zeros(len(self.pairs))
         for block in _blocks(text):
-            good += len(self.each[0].compress(block))
-            bad += len(self.each[1].compress(block))
             size += len(block)
-        return good, bad, size
+            for i, (good, bad) in enumerate(self.pairs):
+                found[i] += len(bad.compress(block)) - len(good.compress(block))
+        return found, size
 
 
 class Logistic:
@@ -103,69 +109,67 @@ class Logistic:
         return float(self._sigmoid(self._with_one(np.atleast_2d(x)) @ self.beta)[0])
 
 
-def features(sizes: tuple[int, int, int]) -> list[float]:
-    """From compressed sizes under the good and the bad dictionary, and the size itself: their normalised difference, the logarithms of the
-    compression ratio and of the size, and products of these."""
-    good, bad, size = sizes
-    d, r, n = (bad - good) / (bad + good), float(np.log((bad + good) / (2 * size))), float(np.log(size))
-    return [d, r, r * r, d * r, d * d, n, n * d, n * r]
-
-
 class Model:
-    """`share` is the share of good labels; without `regression` it is the score of every text, and always that of an empty one."""
+    """`share` is the share of good labels and the score of every text without `regression`; `prior` holds the average differences by byte."""
 
-    def __init__(self, good: bytes, bad: bytes, share: float, regression: Logistic | None):
-        self.good, self.bad, self.share, self.regression = good, bad, share, regression
+    def __init__(self, pairs: list[tuple[bytes, bytes]], share: float, prior: np.ndarray, regression: Logistic | None):
+        self.pairs, self.share, self.prior, self.regression = pairs, share, prior, regression
         self.compressors: Compressors | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"compressors": None}
 
+    def features(self, differences: np.ndarray, size: int) -> np.ndarray:
+        return (differences + PRIOR_BYTES * self.prior) / (size + PRIOR_BYTES)
+
     def score(self, text: str | None) -> float:
-        if self.regression is None or not text:
+        if self.regression is None:
             return self.share
         if self.compressors is None:
-            self.compressors = Compressors(self.good, self.bad)
-        return self.regression(features(self.compressors.sizes(text)))
+            self.compressors = Compressors(self.pairs)
+        return self.regression(self.features(*self.compressors.differences(text)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int, max_chars: int) -> tuple[dict[int, list[str]], dict[int, int]]:
-    """Bounded texts of each class, in the order of their ids' hashes, and the classes' sizes."""
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int) -> tuple[dict[int, list[str]], dict[int, int]]:
+    """Bounded windows of texts of each class, in the order of their ids' hashes, and the classes' sizes."""
     known = (
         labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
         .where(fold(F.col("k"), FOLDS) != 0).groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
     )
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    texts: dict[int, list[str]] = {0: [], 1: []}
-    for y, n in sizes.items():
+    order: dict[int, tuple[int, int]] = {}  # id to class and place, 2 * per_class of them at most
+    for y, n in sorted(sizes.items()):
         chosen = known.where(F.col("y") == y).withColumn("h", F.xxhash64(F.lit(7), "k"))
         if n > 2 * per_class:  # a first cut, so that the top-k has little to order
             chosen = chosen.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * 2 * per_class / n))
-        ids = [r["k"] for r in chosen.orderBy("h", "k").limit(per_class).collect()]  # bounded by per_class
-        rows = (
-            docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.col("k").isin(ids) & (F.length("t") <= max_chars))
-            .groupBy("k").agg(F.min("t").alias("t")).collect()
-        )
-        found = {r["k"]: r["t"] for r in rows}
-        texts[y] = [found[k] for k in ids if k in found]
+        order |= {r["k"]: (y, i) for i, r in enumerate(chosen.orderBy("h", "k").limit(per_class).collect())}
+    texts: dict[int, list[str]] = {0: [], 1: []}
+    if order:
+        key_, text_ = F.col(key).cast("long"), F.col(text)
+        rows = docs.select(key_.alias("k"), window(text_, key_, PIECE, 13).alias("t")).where(F.col("k").isin(list(order)) & (F.length("t") > 0))
+        found = rows.groupBy("k").agg(F.min("t").alias("t")).collect()
+        for r in sorted(found, key=lambda r: order[r["k"]]):
+            texts[order[r["k"]][0]].append(r["t"])
     return texts, sizes
 
 
 def fit(texts: dict[int, list[str]], sizes: dict[int, int]) -> Model:
     share = sizes.get(1, 0) / sum(sizes.values()) if sizes else 0.5
-    texts = {y: [t for t in found if t] for y, found in texts.items()}
     if min(map(len, texts.values())) < 2:
-        return Model(b"", b"", share, None)
-    good, bad = (build_dictionary(texts[y][::2]) for y in (1, 0))
-    compressors = Compressors(good, bad)
-    x = np.array([features(compressors.sizes(t)) for y in (0, 1) for t in texts[y][1::2]])
+        return Model([], share, np.zeros(0), None)
+    pairs = [tuple(build_dictionary(texts[y][::2], size) for y in (1, 0)) for size in DICTIONARIES]
+    compressors = Compressors(pairs)
+    x = [compressors.differences(t) for y in (0, 1) for t in texts[y][1::2]]
     y = np.array([y for y in (0, 1) for _ in texts[y][1::2]], dtype=float)
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
-    return Model(good, bad, share, Logistic(x, y, weight / weight.sum()))
+    weight /= weight.sum()
+    model = Model(pairs, share, weight @ np.array([d / size for d, size in x]), None)
+    model.regression = Logistic(np.array([model.features(*f) for f in x]), y, weight)
+    return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    return fit(*sample(docs, labels, key, text, label, per_class, max_chars))
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Model:
+    return fit(*sample(docs, labels, key, text, label, per_class))
 
 
 def score_quality(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
@@ -185,7 +189,7 @@ def keep_good(df: DataFrame, model: Model, text: str = "text", cut: float = CUT)
     held, place = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             good = [held.value.score(t) >= cut for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(good, type=pa.bool_()))
 
