@@ -1,9 +1,10 @@
-"""WARC archives: written from a table of pages and read back, record by record, in chunks.
+"""WARC archives: written from a table of pages and read back, record by record, through tables of chunks.
 
-A payload becomes chunk rows (record, chunk number, bytes), which the writer appends to a gzip member per record while it carries the
-payload's SHA-1; the reader streams members block by block and carries the digest again. Neither holds a record as a
-whole. A record whose payload equals that of another with a larger page id is a revisit without a body; it names the response that it
-refers to, and its HTTP header states the full payload's length.
+A payload becomes chunk rows (record, chunk number, bytes) that carry the payload's SHA-1 and length up to each of them; the last row's are the record's. The writer appends the
+chunks to a gzip member per record and digests them again; the reader streams members block by block into chunk rows of the same kind, and records are folded from
+those. Apart from the row that a page arrives in, no step holds a record as a whole. A record whose payload equals that of another with a larger page id is a revisit
+without a body; it names the response that it refers to, and its HTTP header states the full payload's length. Payloads are equal if their lengths and SHA-1 are;
+their bytes are not compared, as the digest is what a revisit states.
 
 Archives go to the shared folder of the session. A task writes files under names of its own and reports them in a manifest row; only files in the
 manifest are read, so a task that is repeated leaves at most unread files behind.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixlake.functions.graph import checkpointed, shared_folder
-from fixlake.llm.common import arrow_schema, table
+from fixlake.llm.common import arrow_schema, bounded, table
 
 #: Bytes of a chunk, and of what the reader takes from a file at a time.
 CHUNK = 1 << 16
@@ -38,9 +39,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Upper halves of the record identifiers of pages with an id, and of those without one.
 _SPACE, _NO_ID = 0x6669786C616B4000, 0x6669786C616B4001
 
+#: Bytes and rows of a batch of the reader's.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+
 MANIFEST = "path string, records long, bytes long"
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-CHUNKS = "page_id long, chunk_no long, chunk binary, digest_so_far string"
+WRITTEN = "page_id long, url string, record long, chunk_no long, last_chunk long, chunk binary, bytes_so_far long, digest_so_far string, bytes long, digest string"
+READ = "page_id long, url string, record_type string, refers_to long, chunk_no long, last boolean, chunk binary, bytes_so_far long, digest_so_far string"
 
 
 def base32_sha1(digest: bytes) -> str:
@@ -57,25 +61,44 @@ def page_of(urn: str) -> int | None:
     return None if number >> 64 == _NO_ID else low - (1 << 64) if low >> 63 else low
 
 
-def records_of(pages: DataFrame, key: str, payload: str, url: str | None, least: int) -> DataFrame:
-    """(page_id, url, payload, sha1, bytes, refers_to): refers_to is set for revisits."""
+def chunk_rows(pages: DataFrame, key: str = "page_id", payload: str = "html", url: str | None = "url", chunk: int = CHUNK) -> DataFrame:
+    """A row for each chunk of each page's payload, in order, with the length and digest up to it; one empty chunk for an empty payload."""
     body = F.coalesce(F.encode(F.col(payload), "UTF-8"), F.lit(b""))
-    base = pages.select(
-        F.col(key).cast("long").alias("page_id"), (F.col(url) if url else F.lit(None).cast("string")).alias("url"), body.alias("payload")
-    ).withColumns({"sha1": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
-    same = (
-        base.where(F.col("bytes") >= least).groupBy("sha1", "bytes").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    )
-    joined = base.join(same, ["sha1", "bytes"], "left")
-    return joined.withColumn("refers_to", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last"))).drop("last")
+    rows = pages.select(
+        F.col(key).cast("long").alias("page_id"), (F.col(url) if url else F.lit(None).cast("string")).alias("url"), F.monotonically_increasing_id().alias("record"),
+        body.alias("payload"),
+    )
 
-
-def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """A row for each chunk of each record, in order; one empty chunk for a revisit or an empty payload."""
-    last = F.when(F.col("refers_to").isNotNull() | (F.col("bytes") == 0), F.lit(0)).otherwise(((F.col("bytes") - 1) / chunk).cast("int"))
-    rows = records.withColumn("last_chunk", last).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), "last_chunk")))
-    part = F.when(F.col("refers_to").isNull(), F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)))
-    return rows.select("page_id", "url", "sha1", "bytes", "refers_to", "last_chunk", "chunk_no", part.alias("chunk"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(WRITTEN)
+        for batch in bounded(batches):
+            page, link, record, data = batch.columns
+            out = []
+            for p, u, r, d in zip(page.to_pylist(), link.to_pylist(), record.to_pylist(), data, strict=True):
+                view = memoryview(d.as_buffer())
+                states, digest = [], hashlib.sha1()
+                for at in range(0, max(1, len(view)), chunk):
+                    digest.update(view[at : at + chunk])
+                    states.append(base32_sha1(digest.digest()))
+                for n, state in enumerate(states):
+                    part = view[n * chunk : (n + 1) * chunk]
+                    out.append((p, u, r, n, len(states) - 1, bytes(part), n * chunk + len(part), state, len(view), states[-1]))
+                    if len(out) * chunk > BATCH_BYTES and len(states) > 1:  # a large record, a few chunks at a time
+                        yield _batch(out, schema)
+                        out = []
+            if out:
+                yield _batch(out, schema)
+
+    return rows.mapInArrow(run, WRITTEN)
+
+
+def with_revisits(chunks: DataFrame, least: int) -> DataFrame:
+    """Add refers_to to chunk rows: the page with the same payload that a record revisits, or null."""
+    ends = chunks.where((F.col("chunk_no") == F.col("last_chunk")) & (F.col("bytes") >= least)).select("page_id", "bytes", "digest")
+    same = ends.groupBy("digest", "bytes").agg(F.max("page_id").alias("same"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    joined = chunks.join(same, ["digest", "bytes"], "left")
+    joined = joined.withColumn("refers_to", F.when(~F.col("same").eqNullSafe(F.col("page_id")), F.col("same"))).drop("same")
+    return joined.where("refers_to IS NULL OR chunk_no = 0")  # a revisit has no body
 
 
 def _head(row: dict) -> bytes:
@@ -84,7 +107,7 @@ def _head(row: dict) -> bytes:
     url = "".join(c if c > " " else f"%{ord(c):02X}" for c in row["url"] or "urn:none")
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_urn(row['page_id'])}", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{base32_sha1(bytes.fromhex(row['sha1']))}", "Content-Type: application/http; msgtype=response",
+        f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{row['digest']}", "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(http) + (0 if revisit else row['bytes'])}",
     ]
     if revisit:
@@ -96,12 +119,12 @@ def write_warc(
     pages: DataFrame, folder: str, key: str = "page_id", payload: str = "html", url: str | None = "url", least: int = 0, chunk: int = CHUNK
 ) -> DataFrame:
     """Write the archives below `folder` (a URI) and return the manifest (path, records, bytes), checkpointed."""
-    rows = chunk_rows(records_of(pages, key, payload, url, least), chunk)
+    rows = with_revisits(chunk_rows(pages, key, payload, url, chunk), least).sortWithinPartitions("record", "chunk_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, out, at, digest = None, None, None, None
         done: list[tuple[str, int, int]] = []
-        for batch in batches:
+        for batch in bounded(batches):
             for row in batch.to_pylist():
                 if row["chunk_no"] == 0:
                     if out is None or done[-1][2] > ROLL:
@@ -116,13 +139,14 @@ def write_warc(
                     data = gzip.compress(_head(row))
                 else:
                     data = b""
-                if row["chunk"]:
+                end = True
+                if row["refers_to"] is None:
                     digest.update(row["chunk"])
                     data += gzip.compress(row["chunk"])
-                end = row["chunk_no"] == row["last_chunk"]
+                    end = row["chunk_no"] == row["last_chunk"]
+                    if base32_sha1(digest.digest()) != row["digest_so_far"]:
+                        raise ValueError(f"record of page {row['page_id']}: chunk {row['chunk_no']} does not go on where the one before it ends")
                 if end:
-                    if row["refers_to"] is None and digest.hexdigest() != row["sha1"]:
-                        raise ValueError(f"record of page {row['page_id']}: its chunks are not its payload")
                     data += gzip.compress(b"\r\n\r\n") + gzip.flush()
                 out.write(data)
                 path, records, size = done[-1]
@@ -202,49 +226,51 @@ def read_records(path: str, folder: str) -> Iterator[tuple[dict[str, str], int,
                 raise ValueError("a record is longer than it says")
 
 
-def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
-    """The records of the archives, with digests computed anew and held against those that the headers state."""
+def read_warc_chunks(manifest: DataFrame, folder: str) -> DataFrame:
+    """The archives as chunk rows (page_id, url, record_type, refers_to, chunk_no, last, chunk, bytes_so_far, digest_so_far); a record's last row has its whole length and
+    digest, which are held against those that its header states. A revisit has one row without bytes, with what its header states."""
+
+    def rows_of(path: str) -> Iterator[tuple]:
+        for fields, length, body in read_records(path, folder):
+            stated = fields["warc-payload-digest"].removeprefix("sha1:")
+            refers = fields.get("warc-refers-to")
+            about = (page_of(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], page_of(refers) if refers else None)
+            if fields["warc-type"] != "response":
+                yield (*about, 0, True, None, length, stated)
+                continue
+            size, digest, n = 0, hashlib.sha1(), 0
+            held = next(body, b"")
+            while held is not None:
+                size += len(held)
+                digest.update(held)
+                after = next(body, None)
+                state = base32_sha1(digest.digest())
+                if after is None and (size != length or state != stated):
+                    raise ValueError(f"{path}: a payload does not have its digest")
+                yield (*about, n, after is None, held, size, state)
+                held, n = after, n + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, rows = arrow_schema(RECORDS), []
+        schema, rows, size = arrow_schema(READ), [], 0
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                for fields, length, body in read_records(path, folder):
-                    stated = fields["warc-payload-digest"].removeprefix("sha1:")
-                    if fields["warc-type"] == "response":
-                        size, digest = 0, hashlib.sha1()
-                        for part in body:
-                            size += len(part)
-                            digest.update(part)
-                        if size != length or base32_sha1(digest.digest()) != stated:
-                            raise ValueError(f"{path}: a payload does not have its digest")
-                    refers = fields.get("warc-refers-to")
-                    rows.append((
-                        page_of(fields["warc-record-id"]), fields["warc-target-uri"], length, stated, fields["warc-type"], page_of(refers) if refers else None,
-                    ))
-                    if len(rows) == 4096:
+                for row in rows_of(path):
+                    rows.append(row)
+                    size += len(row[6] or b"")
+                    if len(rows) == BATCH_ROWS or size > BATCH_BYTES:
                         yield _batch(rows, schema)
-                        rows = []
+                        rows, size = [], 0
         if rows:
             yield _batch(rows, schema)
 
-    return manifest.select("path").mapInArrow(run, RECORDS)
+    return manifest.select("path").mapInArrow(run, READ)
 
 
-def read_warc_chunks(manifest: DataFrame, folder: str) -> DataFrame:
-    """The bodies as chunk rows (page_id, chunk_no, chunk, digest_so_far); revisits have none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(CHUNKS)
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                for fields, _, body in read_records(path, folder):
-                    digest = hashlib.sha1()
-                    for n, part in enumerate(body):
-                        digest.update(part)
-                        yield _batch([(page_of(fields["warc-record-id"]), n, part, base32_sha1(digest.digest()))], schema)
-
-    return manifest.select("path").mapInArrow(run, CHUNKS)
+def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of the archives' records, folded from their chunk rows."""
+    return read_warc_chunks(manifest, folder).where("last").select(
+        "page_id", "url", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to"
+    )
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
