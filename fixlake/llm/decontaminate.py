@@ -9,8 +9,8 @@ The masks were searched so that none of these is missed at the default `MIN_WORD
 words are substituted, one mask has a place between them. A longer stretch has a half that agrees as well, and so has one of those lengths in it.
 Items of 5 to 11 words have masks by their length, for which the same holds over the whole item; shorter ones can't lose a word.
 
-The benchmark is read in parts of at most `PART_BYTES` of text, and only such a part is broadcast; a larger benchmark takes one pass for
-each part. Documents are never shuffled.
+The benchmark is read in parts of at most `PART_BYTES` of text, which are written to the session's shared folder. A task takes a bounded group of documents and
+holds it against one part after the other, of which it keeps `KEPT` at a time. Documents are never shuffled, and there is one pass over them however many parts there are.
 
 Defined cases: a null or empty text is clean; items without words match nothing; items of fewer than five words match as whole sequences of
 words; a repeated item counts under its smallest id; items with a null id are ignored; rows are independent; an empty table gives an empty result,
@@ -19,15 +19,22 @@ an empty benchmark leaves all documents clean; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fixlake.functions.graph import shared_folder
+from fixlake.llm.common import bounded
+
 #: 1: the word counts; 0: it is ignored.
 MASKS = ("1110111", "11100001011", "110110011")
 #: Those of items of fewer than `MIN_WORDS` words, by words.
@@ -37,7 +44,11 @@ SHORT_MASKS = {
 }
 MIN_WORDS = 12
 SHARE = 0.8
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
+#: Parts that a worker keeps, and bytes of documents that are held against a part before the next one is taken.
+KEPT, GROUP_BYTES = 2, 32 << 20
+#: Hits that are expanded at a time.
+HITS = 1 << 20
 #: Words a task remembers the hashes of; a full memory is emptied.
 MEMORY = 500_000
 #: Words hashed at a time in a long text.
@@ -101,25 +112,34 @@ class Benchmark:
         keys = join(keys, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.item_of, self.offset_of = keys[order], join(item_of, np.int64)[order], join(offset_of, np.int64)[order]
-        #: One bit for each value that the low bits of a key can have: a quick first test.
+        #: One bit for each value that the low bits of a key can have, 64 to 128 a key: a quick first test.
         self.bits = max(16, int(np.ceil(np.log2(len(self.keys) + 1))) + 6)
-        self.filter = np.zeros(1 << self.bits, dtype=bool)
-        self.filter[(self.keys & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
+        self.filter = np.zeros(1 << (self.bits - 3), dtype=np.uint8)
+        low = self._low(self.keys)
+        np.bitwise_or.at(self.filter, low >> 3, (1 << (low & 7)).astype(np.uint8))
+
+    def _low(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def alignments(self, words: np.ndarray) -> set[tuple[int, int]]:
         """(item's number, where its first word would be in the text) of each hit."""
         found: set[tuple[int, int]] = set()
-        low = np.uint64((1 << self.bits) - 1)
         for mask in sorted(self.masks):
             for at in range(0, max(1, len(words)), CHUNK):
                 keys = seeds(words[at : at + CHUNK + len(mask) - 1], mask)
-                maybe = np.flatnonzero(self.filter[(keys & low).astype(np.int64)])
+                low = self._low(keys)
+                maybe = np.flatnonzero(self.filter[low >> 3] >> (low & 7) & 1)
                 if len(maybe) == 0:
                     continue
                 first, last = (np.searchsorted(self.keys, keys[maybe], side=s) for s in ("left", "right"))
-                for place, a, b in zip((maybe + at).tolist(), first.tolist(), last.tolist(), strict=True):
-                    for k in range(a, b):
-                        found.add((int(self.item_of[k]), place - int(self.offset_of[k])))
+                hits = last - first
+                ends = np.cumsum(hits)
+                cuts = np.searchsorted(ends, np.arange(HITS, int(ends[-1]) + HITS, HITS))  # words that repeat have many hits
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hits)], strict=True):
+                    n = hits[a:b]
+                    k = np.repeat(first[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    pairs = np.stack([self.item_of[k], np.repeat(maybe[a:b] + at, n) - self.offset_of[k]], axis=1)
+                    found.update(map(tuple, np.unique(pairs, axis=0).tolist()))
         return found
 
     def longest(self, words: np.ndarray, item: int, start: int) -> tuple[int, int]:
@@ -143,7 +163,9 @@ class Benchmark:
     def check(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(item id, words, agreeing words) of each item that the text overlaps, by item."""
         found: dict[int, tuple[int, int]] = {}
-        for item, start in self.alignments(words):
+        for item, start in sorted(self.alignments(words)):
+            if found.get(item, (0, 0))[1] == len(self.words[item]):
+                continue  # the whole item has been found
             length, same = self.longest(words, item, start)
             if length >= min(self.min_words, len(self.words[item])) and (length, same) > found.get(item, (0, 0)):
                 found[item] = (length, same)
@@ -163,36 +185,58 @@ def _parts(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[in
     yield part
 
 
+def _written(spark: SparkSession, benchmark: DataFrame, item: str, text: str, limits: dict) -> list[str]:
+    """The parts of the benchmark as files (URIs) in the session's shared folder."""
+    shared = shared_folder(spark)
+    files, at = pafs.FileSystem.from_uri(shared if ":" in shared else f"file://{shared}")
+    folder = f"{at}/benchmark-{uuid.uuid4().hex}"
+    files.create_dir(folder, recursive=True)
+    out = []
+    for i, part in enumerate(_parts(benchmark, item, text)):
+        with files.open_output_stream(f"{folder}/{i}", compression=None) as stream:
+            stream.write(pickle.dumps(Benchmark(part, **limits), protocol=5))
+        out.append(f"{shared if ':' in shared else 'file://' + shared}/{folder.removeprefix(at).strip('/')}/{i}")
+    return out
+
+
+@functools.lru_cache(maxsize=KEPT)
+def _part(uri: str) -> Benchmark:
+    files, at = pafs.FileSystem.from_uri(uri)
+    with files.open_input_stream(at, compression=None) as stream:
+        return pickle.loads(stream.read())
+
+
 def overlaps(
     df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", **limits
 ) -> DataFrame:
     """The rows of df with __items, the benchmark ids that a row overlaps, and __longest, the longest overlap in words."""
-    out = df
-    first = True
-    for part in _parts(benchmark, item, item_text):
-        held = df.sparkSession.sparkContext.broadcast(Benchmark(part, **limits))
-        out = _pass(out, text, held, first)
-        first = False
-    return out
-
-
-def _pass(df: DataFrame, text: str, held, first: bool) -> DataFrame:
-    """Add one part's findings; an earlier part's are in the columns __items and __longest."""
-    schema = df.schema if not first else df.withColumns({"__items": F.lit(None).cast("array<bigint>"), "__longest": F.lit(0).cast("bigint")}).schema
+    parts = _written(df.sparkSession, benchmark, item, item_text, limits)
+    schema = df.withColumns({"__items": F.lit(None).cast("array<bigint>"), "__longest": F.lit(0).cast("bigint")}).schema
     place = df.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, benchmark = Words(), held.value
-        for batch in batches:
-            found = [benchmark.check(hasher.hashes(t)) for t in batch.column(place).to_pylist()]
-            items, longest = [[i for i, _, _ in f] for f in found], [max((n for _, n, _ in f), default=0) for f in found]
-            kept = batch.columns
-            if not first:
-                items = [sorted({*(a or ()), *b}) for a, b in zip(batch.column(len(kept) - 2).to_pylist(), items, strict=True)]
-                longest = [max(a, b) for a, b in zip(batch.column(len(kept) - 1).to_pylist(), longest, strict=True)]
-                kept = kept[:-2]
+    def found_in(group: list[pa.RecordBatch], hasher: Words) -> Iterator[pa.RecordBatch]:
+        words = [[hasher.hashes(t) for t in batch.column(place).to_pylist()] for batch in group]
+        every = [[[] for _ in w] for w in words]
+        for part in parts:
+            held = _part(part)
+            for w, found in zip(words, every, strict=True):
+                for one, x in zip(w, found, strict=True):
+                    x += held.check(one)
+        for batch, found in zip(group, every, strict=True):
+            items, longest = [sorted({i for i, _, _ in f}) for f in found], [max((n for _, n, _ in f), default=0) for f in found]
             new = [pa.array(items, pa.list_(pa.int64())), pa.array(longest, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*kept, *new], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, size, hasher = [], 0, Words()
+        for batch in bounded(batches):
+            group.append(batch)
+            size += batch.nbytes
+            if size > GROUP_BYTES or len(parts) == 1:
+                yield from found_in(group, hasher)
+                group, size = [], 0
+        if group:
+            yield from found_in(group, hasher)
 
     return df.mapInArrow(run, schema)
 
