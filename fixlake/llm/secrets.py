@@ -13,6 +13,7 @@ independent; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -80,9 +81,12 @@ class Scanner:
         self.coder, self.max_ratio = coder, max_ratio
 
     def random_spans(self, text: str, taken: list[tuple]) -> list[tuple[int, int, str, int]]:
-        found = []
+        found, starts, most = [], [start for start, _, _, _ in taken], []
+        for _, _, _, end in taken:  # the furthest end of the base spans so far
+            most.append(max(end, most[-1]) if most else end)
         for m in _RUN.finditer(text):
-            if any(m.start() < end and start < m.end() for start, _, _, end in taken):
+            before = bisect.bisect_left(starts, m.end())
+            if before and most[before - 1] > m.start():
                 continue
             if any(len(x) <= self.max_ratio * len(self.coder.encode(x)) for x in suspects(m[0])):
                 found.append((m.start(), 3, "random", m.end()))
