@@ -272,18 +272,20 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     # equal sets have equal fingerprints, keys and sizes
     nodes = named.groupBy("same").agg(F.min(key).alias("node"), *[F.first(c).alias(c) for c in ("fp", "keys", "size")])
     nodes = checkpointed(nodes)
-    rows = named.select(key, "same").join(nodes.select("same", "node"), "same")
     # a node's id can have several texts; its sets are tied together in any case, so any of them may link
     texts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("node"), F.col(text).alias("text"))
-    links = verified(near_links(nodes, radius), texts)
-    # equal sets link to their node; a key with several texts ties their sets together
-    links = links.union(rows.where(F.col(key) != F.col("node")).select(F.col("node").alias("src"), F.col(key).alias("dst")))
+    # copies never become edges, they are attached by their sets in the end; a key with several texts ties their sets together
+    several = named.groupBy(key).agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y").select(key)
+    tied = named.join(several, key).select(key, "same").distinct().join(nodes.select("same", "node"), "same").select(F.col(key).alias("src"), F.col("node").alias("dst"))
+    links = verified(near_links(nodes, radius), texts).union(tied)
     found = connected_components(links)
     grouped = nodes.join(found, "node", "left").select("node", "fp", "keys", "size", F.coalesce("component", "node").alias("group"))
     more = verified(wide_pairs(grouped), texts)
     if not more.isEmpty():
         found = connected_components(links.union(more))
-    return marked.select(key).join(found, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("component"))
+    placed = nodes.select("same", "node").join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
+    joined = marked.select(key, "same").join(placed, "same", "left")
+    return joined.select(key, F.when(F.col(key).isNotNull(), F.col("component")).alias("component"))
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
