@@ -18,8 +18,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only for a local master, as in tests, whose tasks share it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return named or _own_folder()
 
 
 _OWN: list[str] = []
