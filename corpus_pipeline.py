@@ -2,7 +2,7 @@
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; each result is written as Parquet and read again as the next stage's documents. All
 but the last return the columns of documents. Empty, null and repeated rows have the results that the operators' modules define; a document whose id is null is
-never a near copy of another.
+never a near copy of another. A table goes when the stage after it has been written.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go from the texts; n_chars follows the text."""
-    cleaned = line_dedup.dedup_lines(docs)
+    """Repeated chunks of lines go from the texts, and with them the documents of which nothing is left; n_chars follows the text."""
+    cleaned = line_dedup.dedup_lines(docs, counts=True)
+    cleaned = cleaned.where("n_removed = 0 OR trim(BOTH '\n' FROM text) <> ''").drop("n_removed")
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
@@ -61,8 +62,16 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, with a Parquet table in the shared folder between each two."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _delete(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
