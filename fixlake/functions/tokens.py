@@ -6,7 +6,7 @@ few tags.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TAGS = "array<struct<pos:int,tag:bigint,value:string>>"
@@ -55,6 +55,41 @@ def last(number: int, tags: str = "tags") -> Column:
     return F.try_element_at(F.filter(tags, lambda t: t["tag"] == number), F.lit(-1))["value"]
 
 
+def stored_tags(messages: DataFrame) -> frozenset[int]:
+    """The tags that have columns of their own, in messages that were saved."""
+    columns = messages.columns
+    return frozenset(n for n in PROMOTED if f"t{n}" in columns) if "repeats" in columns else frozenset()
+
+
+def read(messages: DataFrame, number: int) -> Column:
+    """The first occurrence's value, from the tag's own column where the messages have it."""
+    return F.col(f"t{number}") if number in stored_tags(messages) else tag(number)
+
+
+def occurrences(messages: DataFrame, *numbers: int) -> Column:
+    """array<struct<tag, value>>: every occurrence of some tags, those of one tag in order."""
+    pair = lambda t: F.struct(t["tag"].alias("tag"), t["value"].alias("value"))
+    if not stored_tags(messages) >= set(numbers):
+        return F.transform(F.filter(fields(), lambda t: t["tag"].isin(*numbers)), pair)
+    firsts = F.array(*[F.when(F.col(f"t{n}").isNotNull(), F.struct(F.lit(n).cast("long").alias("tag"), F.col(f"t{n}").alias("value"))) for n in numbers])
+    more = F.when(F.col("repeated"), F.filter("repeats", lambda t: t["tag"].isin(*numbers))).otherwise(F.array().cast("array<struct<tag:bigint,value:string>>"))
+    return F.concat(F.filter(firsts, lambda t: t.isNotNull()), F.transform(more, pair))
+
+
+def final(messages: DataFrame, number: int) -> Column:
+    """The last occurrence's value."""
+    return F.try_element_at(occurrences(messages, number), F.lit(-1))["value"]
+
+
+def with_stored(messages: DataFrame) -> DataFrame:
+    """Add a column for each promoted tag, `repeats` with their further occurrences, and `repeated`, which says whether there are any."""
+    every = messages.withColumn("_f", F.filter(fields(), lambda t: t["tag"].isin(*PROMOTED)))
+    named = every.withColumns({f"t{n}": F.get(F.filter("_f", lambda t, n=n: t["tag"] == n), F.lit(0))["value"] for n in PROMOTED})
+    further = F.filter("_f", lambda t: F.exists("_f", lambda u: (u["tag"] == t["tag"]) & (u["pos"] < t["pos"])))
+    pairs = F.transform(further, lambda t: F.struct(t["tag"].alias("tag"), t["value"].alias("value")))
+    return named.withColumn("repeats", F.when(F.size(pairs) > 0, pairs)).withColumn("repeated", F.col("repeats").isNotNull()).drop("_f")
+
+
 def checksum(text: str = "raw") -> Column:
     """Sum of all bytes before the CheckSum field, modulo 256."""
     wide = f"decode(CAST({text} AS BINARY), 'ISO-8859-1')"

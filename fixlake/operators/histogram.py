@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixlake.functions.tokens import tag
+from fixlake.functions.graph import checkpointed
+from fixlake.functions.tokens import read
 from fixlake.functions.values import sending_ns
 
 #: Bins that are filled in; a finer histogram stays sparse only.
@@ -16,19 +17,19 @@ LEVELS = " ▁▂▃▄▅▆▇█"
 def sparse(messages: DataFrame, bucket_ns: int) -> DataFrame:
     """(start_ns, count) of the bins that have messages; start_ns is null for those without a readable time."""
     bucket = max(1, bucket_ns)
-    ns = sending_ns(tag(52))
+    ns = sending_ns(read(messages, 52))
     return messages.select((ns - ns % bucket).alias("start_ns")).groupBy("start_ns").agg(F.count(F.lit(1)).alias("count"))
 
 
 def dropped(messages: DataFrame) -> DataFrame:
     """(dropped_no_time): messages without a readable tag 52."""
-    return messages.agg(F.count_if(sending_ns(tag(52)).isNull()).alias("dropped_no_time"))
+    return messages.agg(F.count_if(sending_ns(read(messages, 52)).isNull()).alias("dropped_no_time"))
 
 
 def histogram(messages: DataFrame, bucket_ns: int) -> DataFrame:
     """(start_ns, end_ns, count) of all bins from the first to the last, empty ones too. Raises ValueError beyond MOST_BINS bins."""
     bucket = max(1, bucket_ns)
-    bins = sparse(messages, bucket).where("start_ns IS NOT NULL")
+    bins = checkpointed(sparse(messages, bucket).where("start_ns IS NOT NULL"))  # the log is read once
     ends = bins.agg(F.min("start_ns").alias("a"), F.max("start_ns").alias("b")).first()  # two numbers
     if ends["a"] is not None and (ends["b"] - ends["a"]) // bucket >= MOST_BINS:
         raise ValueError(f"more than {MOST_BINS} bins; take a larger bucket")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fixlake.functions.tokens import tag
+from fixlake.functions.tokens import read
 from fixlake.functions.values import u32
 
 #: Sequence numbers of a session and direction that are ordered in one task.
@@ -15,7 +15,7 @@ BUCKET = 100_000
 
 def with_session(messages: DataFrame) -> DataFrame:
     """Add sender and target (the smaller and the larger identifier) and direction; null where tag 49 or 56 is missing."""
-    a, b = tag(49), tag(56)
+    a, b = read(messages, 49), read(messages, 56)
     both = a.isNotNull() & b.isNotNull()
     return messages.withColumns({
         "sender": F.when(both, F.least(a, b)), "target": F.when(both, F.greatest(a, b)), "direction": F.when(both, F.when(a <= b, "in").otherwise("out")),
@@ -24,7 +24,7 @@ def with_session(messages: DataFrame) -> DataFrame:
 
 def sessions(messages: DataFrame) -> DataFrame:
     """(sender, target, in_count, out_count, by_msg_type, seq_min, seq_max): by_msg_type maps types to counts."""
-    base = with_session(messages).where("sender IS NOT NULL").select("sender", "target", "direction", tag(35).alias("kind"), u32(tag(34)).alias("seq"))
+    base = with_session(messages).where("sender IS NOT NULL").select("sender", "target", "direction", read(messages, 35).alias("kind"), u32(read(messages, 34)).alias("seq"))
     kinds = base.groupBy("sender", "target", "kind").agg(
         F.count_if(F.col("direction") == "in").alias("i"), F.count_if(F.col("direction") == "out").alias("o"), F.min("seq").alias("a"), F.max("seq").alias("b")
     )
@@ -47,7 +47,7 @@ def seq_gaps(messages: DataFrame) -> DataFrame:
 
     Distinct numbers are ordered within buckets of `BUCKET` numbers, and only the buckets' ends across them, so that no task orders all of a busy session.
     """
-    base = with_session(messages).select("sender", "target", "direction", u32(tag(34)).alias("seq"), "ordinal").where("sender IS NOT NULL AND seq IS NOT NULL")
+    base = with_session(messages).select("sender", "target", "direction", u32(read(messages, 34)).alias("seq"), "ordinal").where("sender IS NOT NULL AND seq IS NOT NULL")
     numbers = base.groupBy("sender", "target", "direction", "seq").agg(F.max("ordinal").alias("last"), F.min("ordinal").alias("first"))
     numbers = numbers.withColumn("bucket", F.floor(F.col("seq") / BUCKET))
     side = ["sender", "target", "direction"]

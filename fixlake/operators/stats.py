@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixlake.functions.dictionary import Dictionary, builtin, chain_for
-from fixlake.functions.tokens import fields, last, tag
+from fixlake.functions.tokens import final, occurrences, read
 
 
 def message_types(messages: DataFrame, top: int | None = 10, d: Dictionary | None = None) -> DataFrame:
     """(msg_type, n, label), most frequent first: every occurrence of tag 35 counts; labels by the chain of the last message. All types with top=None."""
     d = d or builtin()
-    kinds = messages.select(F.explode(F.filter(fields(), lambda t: t["tag"] == 35)).alias("t")).select(F.col("t.value").alias("msg_type"))
+    kinds = messages.select(F.explode(occurrences(messages, 35)).alias("t")).select(F.col("t.value").alias("msg_type"))
     counts = kinds.groupBy("msg_type").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.orderBy(F.desc("n"), "msg_type").limit(top) if top else counts
-    seen = messages.agg(F.max_by(tag(8), "ordinal").alias("begin"), F.max_by(tag(1128), F.when(tag(1128).isNotNull(), F.col("ordinal"))).alias("appl")).first()
+    begin, appl = read(messages, 8), read(messages, 1128)
+    seen = messages.agg(F.max_by(begin, "ordinal").alias("begin"), F.max_by(appl, F.when(appl.isNotNull(), F.col("ordinal"))).alias("appl")).first()
     chain = chain_for(seen["begin"], seen["appl"])
     names = {k: v for version in reversed(chain) for k, v in d.messages.get(version, {}).items()}
     label = F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("msg_type"))
@@ -24,14 +25,13 @@ def message_types(messages: DataFrame, top: int | None = 10, d: Dictionary | Non
 
 def session_pairs(messages: DataFrame) -> DataFrame:
     """(sender, target, n) of directed pairs; the last occurrence of tags 49 and 56 in a message counts."""
-    tagged = messages.withColumn("tags", fields())
-    pairs = tagged.select(last(49).alias("sender"), last(56).alias("target")).where("sender IS NOT NULL AND target IS NOT NULL")
+    pairs = messages.select(final(messages, 49).alias("sender"), final(messages, 56).alias("target")).where("sender IS NOT NULL AND target IS NOT NULL")
     return pairs.groupBy("sender", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def totals(messages: DataFrame, errors: DataFrame) -> DataFrame:
     """One row: messages, errors, and the smallest and largest tag 52 as texts, over every occurrence."""
-    times = F.transform(F.filter(fields(), lambda t: t["tag"] == 52), lambda t: t["value"])
+    times = F.transform(occurrences(messages, 52), lambda t: t["value"])
     of = messages.select(F.array_min(times).alias("a"), F.array_max(times).alias("b"))
     seen = of.agg(F.count(F.lit(1)).alias("messages"), F.min("a").alias("min_time"), F.max("b").alias("max_time"))
     return seen.crossJoin(F.broadcast(errors.agg(F.count(F.lit(1)).alias("errors")))).select("messages", "errors", "min_time", "max_time")  # one row each
@@ -39,7 +39,7 @@ def totals(messages: DataFrame, errors: DataFrame) -> DataFrame:
 
 def order_counts(messages: DataFrame, limit: int | None = 20) -> DataFrame:
     """(clordid, events) by the first tag 11 of each message, most frequent first, then by identifier."""
-    counts = messages.select(tag(11).alias("clordid")).where("clordid IS NOT NULL").groupBy("clordid").agg(F.count(F.lit(1)).alias("events"))
+    counts = messages.select(read(messages, 11).alias("clordid")).where("clordid IS NOT NULL").groupBy("clordid").agg(F.count(F.lit(1)).alias("events"))
     return counts.orderBy(F.desc("events"), "clordid").limit(limit) if limit is not None else counts
 
 
@@ -51,5 +51,4 @@ def index_metrics(messages: DataFrame, hot: tuple[int, ...] = (35, 49, 56, 11, 3
 
 def postings(messages: DataFrame, hot: tuple[int, ...]) -> DataFrame:
     """(tag, value, ordinal): each value of a hot tag that a message has, once."""
-    chosen = F.array_distinct(F.transform(F.filter(fields(), lambda t: t["tag"].isin(*hot)), lambda t: F.struct(t["tag"].alias("tag"), t["value"].alias("value"))))
-    return messages.select("ordinal", F.explode(chosen).alias("t")).select("t.tag", "t.value", "ordinal")
+    return messages.select("ordinal", F.explode(F.array_distinct(occurrences(messages, *hot))).alias("t")).select("t.tag", "t.value", "ordinal")

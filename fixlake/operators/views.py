@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fixlake.functions.tokens import HOT, fields, tag
+from fixlake.functions.graph import checkpointed
+from fixlake.functions.tokens import HOT, fields, read, stored_tags
 from fixlake.functions.values import u32
 from fixlake.operators.stats import postings
 from fixlake.plans.dsl import compose, hot_equalities, parse, to_column
@@ -13,7 +15,7 @@ from fixlake.plans.dsl import compose, hot_equalities, parse, to_column
 
 def filtered(messages: DataFrame, user: str | None, hide_heartbeats: bool = False) -> DataFrame:
     effective = compose(user, hide_heartbeats)
-    return messages.where(to_column(effective)) if effective else messages
+    return messages.where(to_column(effective, stored=stored_tags(messages))) if effective else messages
 
 
 def by_postings(messages: DataFrame, looked_up: DataFrame, user: str) -> DataFrame:
@@ -32,17 +34,28 @@ def index(messages: DataFrame, hot: tuple[int, ...] = HOT) -> DataFrame:
 
 
 #: Orders of a view: by position, sequence number, TransactTime and SendingTime; what a message lacks comes last.
-SORTS = {"natural": None, "seq": lambda: u32(tag(34)), "transact": lambda: tag(60), "sending": lambda: tag(52)}
+SORTS = {"natural": None, "seq": lambda m: u32(read(m, 34)), "transact": lambda m: read(m, 60), "sending": lambda m: read(m, 52)}
 CYCLE = tuple(SORTS)
 
 
-def sort_key(by: str) -> list[Column]:
+def sort_key(messages: DataFrame, by: str) -> list[Column]:
     key = SORTS[by]
-    return [F.col("ordinal")] if key is None else [key().asc_nulls_last(), F.col("ordinal")]
+    return [F.col("ordinal")] if key is None else [key(messages).asc_nulls_last(), F.col("ordinal")]
 
 
 def ordered(messages: DataFrame, by: str = "natural") -> DataFrame:
-    return messages.orderBy(*sort_key(by))
+    return messages.orderBy(*sort_key(messages, by))
+
+
+def ranked(messages: DataFrame, by: str = "natural", parts: int | None = None) -> DataFrame:
+    """Add rank, each message's place in the order of a view, from 0. Messages are dealt to tasks by ranges of the key; a range's first rank comes from the sizes of
+    those before it, so that no task has all messages."""
+    key = sort_key(messages, by)
+    dealt = checkpointed((messages.repartitionByRange(parts, *key) if parts else messages.repartitionByRange(*key)).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # a row for each task
+    first = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*sort_key(messages, by)))
+    return dealt.withColumn("_in", inside).join(F.broadcast(first), "_part").withColumn("rank", F.col("_first") + F.col("_in") - 1).drop("_part", "_first", "_in")
 
 
 def first(messages: DataFrame, n: int) -> DataFrame:
@@ -52,7 +65,7 @@ def first(messages: DataFrame, n: int) -> DataFrame:
 def search(messages: DataFrame, query: str, current: int, forward: bool = True) -> DataFrame:
     """(ordinal, wrapped): the next match after, or before, the current message in natural order, or else the one found from the other end; the
     current message itself does not count. No row without a match."""
-    hits = messages.where(to_column(query)).where(F.col("ordinal") != current).select("ordinal")
+    hits = filtered(messages, query).where(F.col("ordinal") != current).select("ordinal")
     beyond = F.col("ordinal") > current if forward else F.col("ordinal") < current
     pick = F.min if forward else F.max
     found = hits.agg(pick(F.when(beyond, F.col("ordinal"))).alias("near"), pick("ordinal").alias("far"))

@@ -3,8 +3,9 @@
 A message begins at the marker `8=FIX`; its second field, BodyLength, says where its CheckSum field has to stand, and it ends behind that. A valid message is
 skipped as a whole; after an error the search goes on behind the marker, so one damaged message costs only itself. Checksums are not required to be right.
 
-`scan` reads byte ranges of files in tasks: a range owns the messages that begin in it, a gzip file is one range. `native_frames` does the same for records
-that are rows already, with Column expressions only.
+`scan` reads byte ranges of files in tasks: a range owns the messages that begin in it, a gzip file is one range. Blocks are framed by array operations over their
+separators, without a Python object for each message; only what these do not find in order is looked at by itself. A message that is not whole within `LOOK_AHEAD` bytes is
+an error, so that a damaged BodyLength never makes a task hold more. `native_frames` does the same for records that are rows already, with Column expressions only.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +27,8 @@ MARKER = b"8=FIX"
 #: Bytes of a range, and of a read.
 RANGE = 64 << 20
 READ = 4 << 20
+#: Bytes that are held for a message that has not ended.
+LOOK_AHEAD = 8 << 20
 FRAMES = "source_idx int, source string, range_start long, seq long, offset long, raw binary, code string"
 #: Codes of damaged messages.
 CODES = ("UnexpectedEof", "InvalidTag", "InvalidBodyLength", "InvalidBeginString")
@@ -36,15 +41,53 @@ _TAG = (
 )
 
 
+@dataclass
+class Block:
+    """What a piece of a source holds: where valid messages begin and end in `data`, which stands at `base` in the source, and (offset, code) of damaged ones."""
+
+    data: bytes
+    base: int
+    starts: np.ndarray
+    ends: np.ndarray
+    errors: list[tuple[int, str]] = field(default_factory=list)
+
+    def raw(self) -> pa.BinaryArray:
+        return gathered(np.frombuffer(self.data, dtype=np.uint8), self.starts, self.ends - self.starts)
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, valid: np.ndarray | None = None) -> pa.BinaryArray:
+    """Slices of bytes as a binary array; nulls where not valid."""
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    places = np.repeat(starts - offsets[:-1], sizes) + np.arange(int(offsets[-1]))
+    mask = None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+    buffers = [mask, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data[places].tobytes())]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), buffers)
+
+
+def _numbers(data: np.ndarray, at: np.ndarray, end: int, most: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal numbers of up to `most` digits that stand at these places before the byte `end`, and how many digits they have: 0 where there is no such number."""
+    number, size, left = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64), np.arange(len(at))
+    value = np.zeros(len(at), dtype=np.int64)
+    for k in range(most + 1):
+        c = data.take(at[left] + k, mode="clip")
+        if k:
+            done = c == end
+            number[left[done]], size[left[done]] = value[done], k
+        digit = (c - np.uint8(48)) < 10
+        left, value = left[digit], value[digit] * 10 + (c[digit] - np.uint8(48))
+        if not len(left):
+            break
+    return number, size
+
+
 class Framer:
-    """Takes one message at a time from a buffer."""
+    """Takes messages from blocks of bytes."""
 
-    def __init__(self, separator: str):
-        self.sep = separator.encode()
+    def __init__(self, separator: str, look_ahead: int = LOOK_AHEAD):
+        self.sep, self.look_ahead = separator.encode(), look_ahead
         s = re.escape(self.sep)
         self.fields = re.compile(rb"(?:[0-9]{1,9}=[^" + s + rb"]*" + s + rb")+")
         self.field = re.compile(rb"([0-9]+)=[^" + s + rb"]*" + s)
-        self.head = re.compile(rb"8=[^" + s + rb"]*" + s + rb"9=([0-9]{1,9})" + s)
 
     def _field(self, data: bytes, at: int) -> tuple[int, int, int] | str:
         """(tag, where the value begins, where the next field begins), or a code."""
@@ -59,10 +102,6 @@ class Framer:
 
     def message(self, data: bytes, at: int) -> int | str:
         """Where the message that begins at the marker ends, or a code."""
-        if head := self.head.match(data, at):  # as messages are; what follows tells what is wrong with any other
-            body_end = head.end() + int(head[1])
-            if data.startswith(b"10=", body_end) and (last := data.find(self.sep, body_end) + 1) and self.fields.fullmatch(data, at, last):
-                return last
         first = self._field(data, at)
         if isinstance(first, str):
             return first
@@ -94,31 +133,121 @@ class Framer:
             at = m.end()
         return True
 
-    def scan(self, blocks: Iterator[bytes], base: int, end: int | None) -> Iterator[tuple[int, bytes | None, str | None]]:
-        """(offset, message, None) or (offset, None, code) of all markers from `base` up to `end`."""
-        data, at, more = b"", 0, True
-        while True:
-            start = data.find(MARKER, at)
-            if start < 0 or end is not None and base + start >= end:
-                if start >= 0 or not more or end is not None and base + len(data) - len(MARKER) + 1 >= end:
-                    return
-                keep = max(at, len(data) - len(MARKER) + 1)
-                data, base, at = data[keep:], base + keep, 0
-                block = next(blocks, None)
-                more, data = block is not None, data + (block or b"")
-                continue
-            found = self.message(data, start)
-            if isinstance(found, str) and more and found in ("UnexpectedEof",):
-                block = next(blocks, None)  # the message may go on
-                more = block is not None
-                data, base, at = data[start:] + (block or b""), base + start, 0
+    def _plain(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where the messages that begin at these markers end, as far as their fields are like those of most messages; else -1."""
+        n = len(data)
+        sep = np.flatnonzero(data == self.sep[0])
+        # fields begin behind separators: up to nine digits, then an equals sign
+        bad = np.zeros(len(sep) + 1, dtype=np.int64)
+        np.cumsum(_numbers(data, sep + 1, 61)[1] == 0, out=bad[1:])
+        ends = np.full(len(starts), -1, dtype=np.int64)
+        first = np.searchsorted(sep, starts)
+        use = np.flatnonzero(first + 1 < len(sep))
+        one = sep[first[use]]
+        value, size = _numbers(data, one + 3, self.sep[0])
+        good = (size > 0) & (data.take(one + 1, mode="clip") == 57) & (data.take(one + 2, mode="clip") == 61)
+        use, body = use[good], (one + 4 + size + value)[good]
+        inside = body + 3 < n
+        use, body = use[inside], body[inside]
+        good = (data[body] == 49) & (data[body + 1] == 48) & (data[body + 2] == 61)
+        use, body = use[good], body[good]
+        last = np.searchsorted(sep, body)
+        whole = last < len(sep)
+        use, last = use[whole], last[whole]
+        good = bad[last] == bad[first[use]]
+        ends[use[good]] = sep[last[good]] + 1
+        return ends
+
+    def take(self, data: bytes, base: int, more: bool, stop: int | None) -> tuple[Block, int]:
+        """The messages of `data` that begin before `stop` (a place in it), and the place from which on nothing is decided yet."""
+        view = np.frombuffer(data, dtype=np.uint8)
+        mark = np.flatnonzero(view[: max(0, len(view) - 4)] == 56)
+        for k, c in enumerate(MARKER[1:], 1):
+            mark = mark[view[mark + k] == c]
+        if stop is not None:
+            mark = mark[mark < stop]
+        rest = max(0, len(data) - len(MARKER) + 1) if more else len(data)
+        if not len(mark):
+            return Block(data, base, mark, mark), rest
+        ends = self._plain(view, mark)
+        if (ends > 0).all() and (mark[1:] >= ends[:-1]).all():
+            return Block(data, base, mark, ends), max(rest, int(ends[-1]))
+        starts, stops, errors, at = [], [], [], 0
+        for start, end in zip(mark.tolist(), ends.tolist(), strict=True):
+            if start < at:
                 continue
+            found = end if end > 0 else self.message(data, start)
+            if found == "UnexpectedEof" and more and len(data) - start <= self.look_ahead:
+                rest = start  # the message may go on
+                break
             if isinstance(found, str):
-                yield base + start, None, found
+                errors.append((base + start, found))
                 at = start + 1
             else:
-                yield base + start, data[start:found], None
+                starts.append(start)
+                stops.append(found)
                 at = found
+        else:
+            rest = max(rest, at)
+        return Block(data, base, np.array(starts, dtype=np.int64), np.array(stops, dtype=np.int64), errors), rest
+
+    def read(self, blocks: Iterator[bytes], base: int, stop: int | None) -> Iterator[Block]:
+        """All markers from `base` up to `stop` (places in the source), block by block."""
+        data, more = b"", True
+        while more:
+            block = next(blocks, None)
+            more, data = block is not None, data + (block or b"")
+            found, rest = self.take(data, base, more, None if stop is None else stop - base)
+            yield found
+            if stop is not None and base + rest >= stop:
+                return
+            data, base = data[rest:], base + rest
+
+    def scan(self, blocks: Iterator[bytes], base: int, stop: int | None) -> Iterator[tuple[int, bytes | None, str | None]]:
+        """(offset, message, None) or (offset, None, code) of all markers from `base` up to `stop`."""
+        for b in self.read(blocks, base, stop):
+            rows = [(b.base + x, b.data[x:y], None) for x, y in zip(b.starts.tolist(), b.ends.tolist(), strict=True)] + [(x, None, code) for x, code in b.errors]
+            yield from sorted(rows, key=lambda r: r[0])
+
+
+class Promoter:
+    """Takes the first occurrence of chosen tags, and any further ones, from blocks of framed messages."""
+
+    def __init__(self, separator: str, tags: tuple[int, ...]):
+        self.sep, self.tags = separator.encode()[0], tags
+
+    def columns(self, block: Block) -> list[pa.Array]:
+        """A binary array for each tag, then the further occurrences as list<struct<tag, value>>, null for messages without any."""
+        data, n = np.frombuffer(block.data, dtype=np.uint8), len(block.starts)
+        sep = np.flatnonzero(data == self.sep)
+        # a message's fields: its own beginning, and what follows each of its separators but the last
+        low, high = np.searchsorted(sep, block.starts), np.searchsorted(sep, block.ends - 1)
+        count = high - low
+        of = np.repeat(np.arange(n), count + 1)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(count + 1) - (count + 1), count + 1)
+        place = np.repeat(low, count + 1) + inner  # the separator that ends the field
+        begin = np.where(inner == 0, np.repeat(block.starts, count + 1), sep[np.maximum(place - 1, 0)] + 1) if len(of) else np.zeros(0, dtype=np.int64)
+        end = sep[place] if len(of) else begin
+        tag, size = _numbers(data, begin, 61)
+        for k in np.flatnonzero(size == 0).tolist():  # many digits, of which most are leading zeros
+            size[k] = block.data.index(b"=", begin[k]) - begin[k]
+            tag[k] = int(block.data[begin[k] : begin[k] + size[k]])
+        eq = begin + size
+        out, more = [], []
+        for number in self.tags:
+            chosen = np.flatnonzero(tag == number)
+            first = np.ones(len(chosen), dtype=bool)
+            first[1:] = of[chosen[1:]] != of[chosen[:-1]]
+            more.append(chosen[~first])
+            chosen = chosen[first]
+            starts, sizes, valid = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+            starts[of[chosen]], sizes[of[chosen]], valid[of[chosen]] = eq[chosen] + 1, end[chosen] - eq[chosen] - 1, True
+            out.append(gathered(data, starts, sizes, valid))
+        more = np.sort(np.concatenate(more)) if more else np.zeros(0, dtype=np.int64)
+        sizes = np.bincount(of[more], minlength=n) if n else np.zeros(0, dtype=np.int64)
+        values = pa.StructArray.from_arrays([pa.array(tag[more]), gathered(data, eq[more] + 1, end[more] - eq[more] - 1)], names=["tag", "value"])
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), mask=np.append(sizes == 0, False))
+        return [*out, pa.ListArray.from_arrays(offsets, values)]
 
 
 def _blocks(path: str, start: int) -> Iterator[bytes]:
@@ -147,14 +276,22 @@ def plain_path(uri: str) -> str:
 
 
 def file_sizes(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
-    """(path, bytes) of each path in order, by the session's file system."""
+    """(path, bytes) of each path in order, by the session's file system. A pattern stands for the files that match it and a folder for its files, by name; names that
+    begin with a dot or an underscore are left out."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     found = []
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
-        status = p.getFileSystem(conf).getFileStatus(p)
-        found.append((plain_path(status.getPath().toString()), status.getLen()))
+        files = p.getFileSystem(conf)
+        matched = [files.getFileStatus(p)] if files.exists(p) else list(files.globStatus(p) or [])
+        if not matched:
+            raise FileNotFoundError(path)
+        for status in sorted(matched, key=lambda x: x.getPath().toString()):
+            inner = list(files.listStatus(status.getPath())) if status.isDirectory() else [status]
+            for one in sorted(inner, key=lambda x: x.getPath().toString()):
+                if one is status or not one.isDirectory() and one.getPath().getName()[0] not in "._":
+                    found.append((plain_path(one.getPath().toString()), one.getLen()))
     return found
 
 
@@ -172,33 +309,34 @@ def ranges(spark: SparkSession, paths: list[str], size: int = RANGE, bases: Data
     return every.repartitionByRange(len(rows), "source_idx", "start")
 
 
-def scan(spark: SparkSession, paths: list[str], separator: str, size: int = RANGE, batch: int = 8192, bases: DataFrame | None = None) -> DataFrame:
-    """All frames of the files: (source_idx, source, range_start, seq, offset, raw, code); seq counts the valid messages of a range, from its base or 0."""
+def scan(spark: SparkSession, paths: list[str], separator: str, size: int = RANGE, bases: DataFrame | None = None, tags: tuple[int, ...] = ()) -> DataFrame:
+    """All frames of the files: (source_idx, source, range_start, seq, offset, raw, code); seq counts the valid messages of a range, from its base or 0. With `tags`, also
+    t<tag> (binary), the first occurrence, and repeats, further ones; then damaged messages have a row too."""
+    schema = FRAMES + "".join(f", t{t} binary" for t in tags) + (", repeats array<struct<tag:bigint,value:binary>>" if tags else "")
+    names = [c.split(" ")[0] for c in FRAMES.split(", ")] + [f"t{t}" for t in tags] + (["repeats"] if tags else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        framer = Framer(separator)
+        framer, promoter = Framer(separator), Promoter(separator, tags)
         for part in batches:
             for row in part.to_pylist():
-                seq, rows = row.get("base", 0), []
-                for offset, raw, code in framer.scan(_blocks(row["source"], row["start"]), row["start"], row["stop"]):
-                    rows.append((seq if code is None else None, offset, raw, code))
-                    seq += code is None
-                    if len(rows) == batch:
-                        yield out(row, rows)
-                        rows = []
-                if rows:
-                    yield out(row, rows)
-
-    def out(row: dict, rows: list[tuple]) -> pa.RecordBatch:
-        seq, offset, raw, code = zip(*rows, strict=True)
-        n = len(rows)
-        columns = [
-            pa.array([row["source_idx"]] * n, pa.int32()), pa.array([row["source"]] * n, pa.string()), pa.array([row["start"]] * n, pa.int64()),
-            pa.array(seq, pa.int64()), pa.array(offset, pa.int64()), pa.array(raw, pa.binary()), pa.array(code, pa.string()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["source_idx", "source", "range_start", "seq", "offset", "raw", "code"])
-
-    return ranges(spark, paths, size, bases).mapInArrow(run, FRAMES)
+                seq = row.get("base", 0)
+                for block in framer.read(_blocks(row["source"], row["start"]), row["start"], row["stop"]):
+                    n = len(block.starts)
+                    if n:
+                        more = promoter.columns(block) if tags else []
+                        yield out(row, n, np.arange(seq, seq + n), block.starts + block.base, block.raw(), pa.nulls(n, pa.string()), more)
+                        seq += n
+                    if k := len(block.errors):
+                        offsets, codes = zip(*block.errors, strict=True)
+                        more = [pa.nulls(k, pa.binary()) for _ in tags] + ([pa.nulls(k, pa.list_(pa.struct([("tag", pa.int64()), ("value", pa.binary())])))] if tags else [])
+                        yield out(row, k, pa.nulls(k, pa.int64()), offsets, pa.nulls(k, pa.binary()), codes, more)
+
+    def out(row: dict, n: int, seq, offset, raw, code, more: list) -> pa.RecordBatch:
+        same = [pa.repeat(pa.scalar(row[c], t), n) for c, t in (("source_idx", pa.int32()), ("source", pa.string()), ("start", pa.int64()))]
+        columns = [*same, pa.array(seq, pa.int64()), pa.array(offset, pa.int64()), raw, pa.array(code, pa.string()), *more]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return ranges(spark, paths, size, bases).mapInArrow(run, schema)
 
 
 def native_frames(df: DataFrame, record: str = "record", separator: Column | str = "\x01") -> DataFrame:
@@ -245,7 +383,7 @@ def count(spark: SparkSession, paths: list[str], separator: str, size: int = RAN
         framer = Framer(separator)
         for part in batches:
             rows = part.to_pylist()
-            n = [sum(code is None for _, _, code in framer.scan(_blocks(r["source"], r["start"]), r["start"], r["stop"])) for r in rows]
+            n = [sum(len(b.starts) for b in framer.read(_blocks(r["source"], r["start"]), r["start"], r["stop"])) for r in rows]
             columns = [pa.array([r["source_idx"] for r in rows], pa.int32()), pa.array([r["start"] for r in rows], pa.int64()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["source_idx", "range_start", "n"])
 
