@@ -2,7 +2,7 @@
 
 A dictionary is loaded from its XML form (`load_xml`), or taken from the small built-in one, which has the tags that the analyses use. A message's
 chain of versions follows from its BeginString and ApplVerID; the first version that knows a tag, a value or a type gives its name. Lookups compile to literal
-maps, which are of fixed size, so resolving needs no join.
+arrays with a place for each tag, so a name costs one access whatever the dictionary's size, and resolving needs no join.
 """
 
 from __future__ import annotations
@@ -52,14 +52,38 @@ MESSAGES = {
     "V": "MarketDataRequest", "W": "MarketDataSnapshotFullRefresh", "X": "MarketDataIncrementalRefresh", "Y": "MarketDataRequestReject",
     "j": "BusinessMessageReject", "c": "SecurityDefinitionRequest", "d": "SecurityDefinition",
 }
-#: Counters of repeating groups, with the tags that may stand in their entries.
+# The session layer of the public FIXT 1.1 specification
+SESSION_FIELDS = {
+    7: ("BeginSeqNo", "SEQNUM"), 8: ("BeginString", "STRING"), 9: ("BodyLength", "LENGTH"), 10: ("CheckSum", "STRING"), 16: ("EndSeqNo", "SEQNUM"), 34: ("MsgSeqNum", "SEQNUM"),
+    35: ("MsgType", "STRING"), 36: ("NewSeqNo", "SEQNUM"), 43: ("PossDupFlag", "BOOLEAN"), 45: ("RefSeqNum", "SEQNUM"), 49: ("SenderCompID", "STRING"),
+    50: ("SenderSubID", "STRING"), 52: ("SendingTime", "UTCTIMESTAMP"), 56: ("TargetCompID", "STRING"), 57: ("TargetSubID", "STRING"), 58: ("Text", "STRING"),
+    89: ("Signature", "DATA"), 90: ("SecureDataLen", "LENGTH"), 91: ("SecureData", "DATA"), 93: ("SignatureLength", "LENGTH"), 95: ("RawDataLength", "LENGTH"),
+    96: ("RawData", "DATA"), 97: ("PossResend", "BOOLEAN"), 98: ("EncryptMethod", "INT"), 108: ("HeartBtInt", "INT"), 112: ("TestReqID", "STRING"),
+    115: ("OnBehalfOfCompID", "STRING"), 116: ("OnBehalfOfSubID", "STRING"), 122: ("OrigSendingTime", "UTCTIMESTAMP"), 123: ("GapFillFlag", "BOOLEAN"),
+    128: ("DeliverToCompID", "STRING"), 129: ("DeliverToSubID", "STRING"), 141: ("ResetSeqNumFlag", "BOOLEAN"), 142: ("SenderLocationID", "STRING"),
+    143: ("TargetLocationID", "STRING"), 144: ("OnBehalfOfLocationID", "STRING"), 145: ("DeliverToLocationID", "STRING"), 212: ("XmlDataLen", "LENGTH"),
+    213: ("XmlData", "DATA"), 347: ("MessageEncoding", "STRING"), 354: ("EncodedTextLen", "LENGTH"), 355: ("EncodedText", "DATA"), 369: ("LastMsgSeqNumProcessed", "SEQNUM"),
+    371: ("RefTagID", "INT"), 372: ("RefMsgType", "STRING"), 373: ("SessionRejectReason", "INT"), 383: ("MaxMessageSize", "LENGTH"), 384: ("NoMsgTypes", "NUMINGROUP"),
+    385: ("MsgDirection", "CHAR"), 464: ("TestMessageIndicator", "BOOLEAN"), 553: ("Username", "STRING"), 554: ("Password", "STRING"), 627: ("NoHops", "NUMINGROUP"),
+    628: ("HopCompID", "STRING"), 629: ("HopSendingTime", "UTCTIMESTAMP"), 630: ("HopRefID", "SEQNUM"), 789: ("NextExpectedMsgSeqNum", "SEQNUM"), 925: ("NewPassword", "STRING"),
+    1128: ("ApplVerID", "STRING"), 1129: ("CstmApplVerID", "STRING"), 1130: ("RefApplVerID", "STRING"), 1131: ("RefCstmApplVerID", "STRING"), 1137: ("DefaultApplVerID", "STRING"),
+    1156: ("ApplExtID", "INT"), 1400: ("EncryptedPasswordMethod", "INT"), 1401: ("EncryptedPasswordLen", "LENGTH"), 1402: ("EncryptedPassword", "DATA"),
+    1403: ("EncryptedNewPasswordLen", "LENGTH"), 1404: ("EncryptedNewPassword", "DATA"), 1406: ("RefApplExtID", "INT"), 1407: ("DefaultApplExtID", "INT"),
+    1408: ("DefaultCstmApplVerID", "STRING"), 1409: ("SessionStatus", "INT"), 1410: ("DefaultVerIndicator", "BOOLEAN"),
+}
+SESSION_MESSAGES = {
+    "0": "Heartbeat", "1": "TestRequest", "2": "ResendRequest", "3": "Reject", "4": "SequenceReset", "5": "Logout", "A": "Logon", "n": "XMLnonFIX",
+}
+#: Fields that an application version has beyond those of the one before it.
+ADDED = {"FIX50SP1": {1180: ("ApplID", "STRING")}, "FIX50SP2": {1180: ("ApplID", "STRING"), 1301: ("MarketID", "EXCHANGE")}}
+# Counters of repeating groups, with the tags that may stand in their entries
 GROUPS = {
     268: (55, 48, 22, 207, 461, 269, 270, 271, 272, 273, 274, 275, 276, 277, 278, 279, 280, 282, 283, 284, 285, 286, 287, 288, 289, 290, 291, 292, 293, 294,
           336, 432, 625, 828, 1023),
 }
 #: ApplVerID to the version that follows FIXT11 in the chain.
 APPLICATION_VERSIONS = {"6": "FIX44", "7": "FIX50", "8": "FIX50SP1"}
-#: Short names of sides in tables.
+# Short names of sides in tables
 SIDES = {"1": "BUY", "2": "SELL", "3": "BUYM", "4": "SELLS", "5": "SELLSE", "6": "SELLSX", "7": "UNDISC", "8": "CROSS", "9": "CROSSS"}
 
 
@@ -90,9 +114,15 @@ class Dictionary:
 
 
 def builtin() -> Dictionary:
-    found = Dictionary()
-    for version in ("FIX44", "FIXT11", "FIX50", "FIX50SP1", "FIX50SP2"):
-        found.add(version, FIELDS, ENUMS, MESSAGES)
+    """The fields, values and messages that the analyses use: FIX44 has all of them, FIXT11 the session layer, and the others the application layer."""
+    session_only = set(SESSION_FIELDS) - {58, 347, 354, 355, 371, 372}
+    application = {t: f for t, f in FIELDS.items() if t not in session_only}
+    messages = {k: name for k, name in MESSAGES.items() if k not in SESSION_MESSAGES}
+    pick = lambda fields: {t: ENUMS[t] for t in fields if t in ENUMS}
+    found = Dictionary().add("FIX44", FIELDS, ENUMS, MESSAGES).add("FIXT11", SESSION_FIELDS, pick(SESSION_FIELDS), SESSION_MESSAGES)
+    for version in ("FIX50", "FIX50SP1", "FIX50SP2"):
+        fields = application | ADDED.get(version, {})
+        found.add(version, fields, pick(fields), messages)
     return found
 
 
@@ -125,9 +155,17 @@ def chain_column(begin: Column | None = None, application: Column | None = None)
     return F.when(begin == "FIXT.1.1", F.array(F.lit("FIXT11"), after)).otherwise(F.array(F.lit("FIX44")))
 
 
-def _map(entries: dict) -> Column:
-    pairs = [F.lit(x) for kv in entries.items() for x in kv]
-    return F.create_map(*pairs) if pairs else F.expr("CAST(map() AS MAP<STRING, STRING>)")
+def _text(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _map(entries: dict[str, str]) -> str:
+    return f"map({', '.join(_text(x) for kv in entries.items() for x in kv)})" if entries else "CAST(map() AS MAP<STRING, STRING>)"
+
+
+def _indexed(entries: dict[int, str], kind: str) -> str:
+    """SQL of a literal array with a place for each tag."""
+    return f"CAST(array({', '.join(entries.get(t, 'NULL') for t in range(max(entries, default=0) + 1))}) AS ARRAY<{kind}>)"
 
 
 def _by_version(tables: dict[str, Column], chain: Column) -> Column:
@@ -136,29 +174,21 @@ def _by_version(tables: dict[str, Column], chain: Column) -> Column:
     return F.coalesce(at(0), at(1))
 
 
-def _distinct(tables: dict[str, dict]) -> bool:
-    return any(t != next(iter(tables.values())) for t in tables.values())
-
-
 def name_column(tag: Column, chain: Column, d: Dictionary, part: int = 0) -> Column:
-    flat = {v: {t: x[part] for t, x in f.items()} for v, f in d.fields.items()}
-    if not _distinct(flat):
-        return F.try_element_at(_map(next(iter(flat.values()))), tag.cast("int"))
-    return _by_version({v: F.try_element_at(_map(f), tag.cast("int")) for v, f in flat.items()}, chain)
+    found = {v: F.get(F.expr(_indexed({t: _text(x[part]) for t, x in f.items()}, "STRING")), tag.try_cast("int")) for v, f in d.fields.items()}
+    return _by_version(found, chain)
 
 
 def label_column(tag: Column, value: Column, chain: Column, d: Dictionary) -> Column:
-    flat = {v: {f"{t}={x}": label for t, values in e.items() for x, label in values.items()} for v, e in d.enums.items()}
-    key = F.concat(tag.cast("string"), F.lit("="), value)
-    if not _distinct(flat):
-        return F.try_element_at(_map(next(iter(flat.values()))), key)
-    return _by_version({v: F.try_element_at(_map(f), key) for v, f in flat.items()}, chain)
+    found = {
+        v: F.try_element_at(F.get(F.expr(_indexed({t: _map(values) for t, values in e.items()}, "MAP<STRING, STRING>")), tag.try_cast("int")), value)
+        for v, e in d.enums.items()
+    }
+    return _by_version(found, chain)
 
 
 def message_name_column(kind: Column, chain: Column, d: Dictionary) -> Column:
-    if not _distinct(d.messages):
-        return F.try_element_at(_map(next(iter(d.messages.values()))), kind)
-    return _by_version({v: F.try_element_at(_map(m), kind) for v, m in d.messages.items()}, chain)
+    return _by_version({v: F.try_element_at(F.expr(_map(m)), kind) for v, m in d.messages.items()}, chain)
 
 
 def depth_column(tags: str = "tags", pos: Column | None = None, groups: dict = GROUPS) -> Column:

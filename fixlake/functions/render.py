@@ -33,7 +33,7 @@ def pretty(messages: DataFrame, d: Dictionary | None = None) -> DataFrame:
     return out.select("ordinal", F.concat(head, F.lit("\n"), F.array_join(F.transform("fields", line), "\n"), F.lit("\n")).alias("text"))
 
 
-def _json(text: Column) -> Column:
+def json_text(text: Column) -> Column:
     """A JSON string; control characters but for line ends and tabs as \\u00xx."""
     out = _valid(text)
     for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
@@ -47,12 +47,12 @@ def _json(text: Column) -> Column:
 def jsonl(messages: DataFrame, d: Dictionary | None = None) -> DataFrame:
     """(ordinal, text): {"offset", "raw_len", "msg_type_name" if known, "tags": [{"tag", "name" or null, "value", "value_label" if known}]}."""
     item = lambda f: F.concat(
-        F.lit('{"tag":'), f["tag"].cast("string"), F.lit(',"name":'), F.coalesce(_json(f["name"]), F.lit("null")), F.lit(',"value":'), _json(f["value"]),
-        F.coalesce(F.concat(F.lit(',"value_label":'), _json(f["value_label"])), F.lit("")), F.lit("}"),
+        F.lit('{"tag":'), f["tag"].cast("string"), F.lit(',"name":'), F.coalesce(json_text(f["name"]), F.lit("null")), F.lit(',"value":'), json_text(f["value"]),
+        F.coalesce(F.concat(F.lit(',"value_label":'), json_text(f["value_label"])), F.lit("")), F.lit("}"),
     )
     text = F.concat(
         F.lit('{"offset":'), F.col("offset").cast("string"), F.lit(',"raw_len":'), F.col("raw_len").cast("string"),
-        F.coalesce(F.concat(F.lit(',"msg_type_name":'), _json(F.col("msg_type_name"))), F.lit("")), F.lit(',"tags":['),
+        F.coalesce(F.concat(F.lit(',"msg_type_name":'), json_text(F.col("msg_type_name"))), F.lit("")), F.lit(',"tags":['),
         F.array_join(F.transform("fields", item), ","), F.lit("]}"),
     )
     return resolved(messages, d).select("ordinal", text.alias("text"))

@@ -84,7 +84,7 @@ def final(messages: DataFrame, number: int) -> Column:
 def with_stored(messages: DataFrame) -> DataFrame:
     """Add a column for each promoted tag, `repeats` with their further occurrences, and `repeated`, which says whether there are any."""
     every = messages.withColumn("_f", F.filter(fields(), lambda t: t["tag"].isin(*PROMOTED)))
-    named = every.withColumns({f"t{n}": F.get(F.filter("_f", lambda t, n=n: t["tag"] == n), F.lit(0))["value"] for n in PROMOTED})
+    named = every.withColumns({f"t{n}": first(n, "_f") for n in PROMOTED})
     further = F.filter("_f", lambda t: F.exists("_f", lambda u: (u["tag"] == t["tag"]) & (u["pos"] < t["pos"])))
     pairs = F.transform(further, lambda t: F.struct(t["tag"].alias("tag"), t["value"].alias("value")))
     return named.withColumn("repeats", F.when(F.size(pairs) > 0, pairs)).withColumn("repeated", F.col("repeats").isNotNull()).drop("_f")
