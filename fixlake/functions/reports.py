@@ -1,6 +1,6 @@
 """Sessions, timelines and consolidated orders as text: tables to read, CSV and JSON.
 
-Each report is a DataFrame of one line a row, (line, text), to be ordered by line; lines are made by Column expressions and numbered by the order of the report.
+Each report is a DataFrame of one line a row, (line, text), to be ordered by line; lines are made by Column expressions and numbered by the order of the report. Amounts are rounded by their shortest decimal form, halves away from zero.
 """
 
 from __future__ import annotations
@@ -94,10 +94,6 @@ def timeline_json(messages: DataFrame, clordid: str) -> DataFrame:
     return orders.timeline(messages, clordid).agg(whole.alias("text")).select(F.lit(1).cast("long").alias("line"), "text")
 
 
-def _in_order(by: str) -> list[Column]:
-    return [F.col(consolidate.SORTS[by]).desc_nulls_last(), F.col("root_clordid")]
-
-
 def consolidated_pretty(found: DataFrame, by: str = "notional") -> DataFrame:
     text = F.format_string(
         "%-18s %-5s %-8s %10s %10s %15s %10s %-14s %5d", truncate(family_display(F.col("family")), 18), _dash(side_label(F.col("side"))), truncate(_dash(F.col("symbol")), 8),
@@ -105,7 +101,7 @@ def consolidated_pretty(found: DataFrame, by: str = "notional") -> DataFrame:
         truncate(_dash(status_label(F.col("final_ord_status"))), 14), "fills",
     )
     names = ("ClOrdID", "Side", "Symbol", "OrderQty", "CumQty", "Notional", "AvgPx", "Status", "Fills")
-    return _lines(found, _in_order(by), text, ["%-18s %-5s %-8s %10s %10s %15s %10s %-14s %5s" % names, "-" * 103])
+    return _lines(found, consolidate.sort_key(by), text, ["%-18s %-5s %-8s %10s %10s %15s %10s %-14s %5s" % names, "-" * 103])
 
 
 def _whole(n: Column) -> Column:
@@ -119,7 +115,7 @@ def consolidated_csv(found: DataFrame, by: str = "notional") -> DataFrame:
         empty(_whole(F.col("order_qty"))), _whole(F.col("cum_qty")), F.format_string("%.4f", "notional"), F.format_string("%.4f", "avg_px"), F.col("fills").cast("string"),
         csv_escape(empty(status_label(F.col("final_ord_status")))),
     )
-    return _lines(found, _in_order(by), text, ["root_clordid,family,side,symbol,order_qty,cum_qty,notional,avg_px,fills,final_ord_status"])
+    return _lines(found, consolidate.sort_key(by), text, ["root_clordid,family,side,symbol,order_qty,cum_qty,notional,avg_px,fills,final_ord_status"])
 
 
 def consolidated_json(found: DataFrame, by: str = "notional") -> DataFrame:
@@ -131,8 +127,8 @@ def consolidated_json(found: DataFrame, by: str = "notional") -> DataFrame:
         F.lit(',"cum_qty":'), _whole(F.col("cum_qty")), F.format_string(',"notional":%.4f,"avg_px":%.4f,"fills":%d', "notional", "avg_px", "fills"),
         part("final_ord_status", json_text(status_label(F.col("final_ord_status")))), F.lit("}"),
     )
-    more = F.lead(F.lit(",")).over(Window.orderBy(*_in_order(by)))
-    return _lines(found.withColumn("_more", F.coalesce(more, F.lit(""))), _in_order(by), F.concat(text, "_more"), ["["], ["]"])
+    more = F.lead(F.lit(",")).over(Window.orderBy(*consolidate.sort_key(by)))
+    return _lines(found.withColumn("_more", F.coalesce(more, F.lit(""))), consolidate.sort_key(by), F.concat(text, "_more"), ["["], ["]"])
 
 
 def summary_table(spark: SparkSession, rows: list[tuple[str, object]], width: int) -> DataFrame:

@@ -48,13 +48,17 @@ def ordered(messages: DataFrame, by: str = "natural") -> DataFrame:
 
 
 def ranked(messages: DataFrame, by: str = "natural", parts: int | None = None) -> DataFrame:
-    """Add rank, each message's place in the order of a view, from 0. Messages are dealt to tasks by ranges of the key; a range's first rank comes from the sizes of
-    those before it, so that no task has all messages."""
-    key = sort_key(messages, by)
-    dealt = checkpointed((messages.repartitionByRange(parts, *key) if parts else messages.repartitionByRange(*key)).withColumn("_part", F.spark_partition_id()))
+    """Add rank, each message's place in the order of a view, from 0."""
+    return placed(messages, sort_key(messages, by), parts)
+
+
+def placed(rows: DataFrame, key: list[Column], parts: int | None = None) -> DataFrame:
+    """Add rank, each row's place in the order of a key, from 0. Rows are dealt to tasks by ranges of the key; a range's first rank comes from the sizes of
+    those before it, so that no task has all rows."""
+    dealt = checkpointed((rows.repartitionByRange(parts, *key) if parts else rows.repartitionByRange(*key)).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # a row for each task
     first = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*sort_key(messages, by)))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*key))
     return dealt.withColumn("_in", inside).join(F.broadcast(first), "_part").withColumn("rank", F.col("_first") + F.col("_in") - 1).drop("_part", "_first", "_in")
 
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixlake.functions import dictionary, render, summary
-from fixlake.functions.tokens import checksum, declared_checksum, fields, tag
+from fixlake.functions import dictionary, render, reports, summary
+from fixlake.functions.graph import shared_folder
+from fixlake.functions.tokens import checksum, declared_checksum, fields, read, tag
 from fixlake.functions.values import number, quantity, sending_ns, u32
 from fixlake.operators import consolidate, histogram, orders, sessions, stats, views
 from fixlake.plans.dsl import to_column
 from fixlake.sources import synth
-from fixlake.sources.log import Log, read_records
+from fixlake.sources.log import Log, read_log, read_records, scan_lines
 
 HOUR = 3_600_000_000_000
 
@@ -82,11 +84,12 @@ m AS (
 EVENTS = """
 WITH crc AS (SELECT event_type AS et, g FROM (VALUES {kinds}) v(event_type, g)),
 n AS (
-  SELECT e.*, g = 0 AS o, row_number() OVER (PARTITION BY user_id, g = 0 ORDER BY ts, event_id) AS seq, 'U' || lpad(user_id::VARCHAR, 6, '0') AS u FROM events e JOIN crc ON et = event_type),
+  SELECT e.*, g = 0 AS o, (row_number() OVER w + sum((event_id % 17 = 0)::INT) OVER w)::BIGINT AS seq, 'U' || lpad(user_id::VARCHAR, 6, '0') AS u FROM events e JOIN crc ON et = event_type
+  WINDOW w AS (PARTITION BY user_id, g = 0 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
 m AS (
   SELECT event_id AS pos, upper(substr(event_type, 1, 1)) AS t35, seq, CASE WHEN o THEN 'GW' ELSE u END AS t49, CASE WHEN o THEN u ELSE 'GW' END AS t56,
     strftime(ts, '%Y%m%d-%H:%M:%S.%f') AS t52, ts, event_type AS t58, 'GW' AS sender, u AS target, CASE WHEN o THEN 'in' ELSE 'out' END AS direction
-  FROM n WHERE event_id % 17 <> 0)
+  FROM n)
 """
 # crc32 modulo 3 of the event types, which DuckDB has no function for
 _KINDS = ("click", "view", "purchase", "signup", "error", "login", "logout", "search", "add_to_cart", "refund", "scroll", "share", "checkout")
@@ -175,10 +178,20 @@ def filter_hide_heartbeats(spark, sf_dir):
     return views.filtered(session_log(spark, sf_dir).messages, "58=click", hide_heartbeats=True).select("ordinal")
 
 
-@query(_events_sql() + """SELECT sender, target, count(*) FILTER (direction = 'in') AS in_count, count(*) FILTER (direction = 'out') AS out_count, min(seq) AS seq_min, max(seq) AS seq_max
-FROM m GROUP BY ALL""")
+_SESSIONS = """, t AS (SELECT sender, target, t35, count(*) AS n FROM m GROUP BY ALL),
+k AS (SELECT sender, target, string_agg(t35 || '=' || n, ' ' ORDER BY t35) AS by_msg_type FROM t GROUP BY ALL),
+s AS (SELECT sender, target, count(*) FILTER (direction = 'in') AS in_count, count(*) FILTER (direction = 'out') AS out_count, min(seq) AS seq_min, max(seq) AS seq_max FROM m GROUP BY ALL)
+SELECT * FROM s JOIN k USING (sender, target)"""
+
+
+def _typed_sessions(messages: DataFrame) -> DataFrame:
+    kinds = F.transform(F.array_sort(F.map_entries("by_msg_type")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return sessions.sessions(messages).withColumn("by_msg_type", F.array_join(kinds, " "))
+
+
+@query(_events_sql() + _SESSIONS)
 def sessions_summary(spark, sf_dir):
-    return sessions.sessions(session_log(spark, sf_dir).messages).drop("by_msg_type")
+    return _typed_sessions(session_log(spark, sf_dir).messages)
 
 
 @query(_events_sql() + """, c AS (SELECT sender, target, t35, count(*) AS n FROM m GROUP BY ALL), r AS (
@@ -228,7 +241,11 @@ def histogram_total(spark, sf_dir):
     return histogram.total(histogram.histogram(session_log(spark, sf_dir).messages, HOUR))
 
 
-@query()
+@query(_events_sql() + _BINS + """, g2 AS (SELECT count, row_number() OVER (ORDER BY start_ns) - 1 AS i, count(*) OVER () AS n FROM h),
+c2 AS (SELECT cell, cell * n // 60 AS lo, least(n, greatest((cell + 1) * n // 60, cell * n // 60 + 1)) AS hi FROM (SELECT unnest(range(60)) AS cell), (SELECT any_value(n) AS n FROM g2)),
+s2 AS (SELECT cell, coalesce(sum(count), 0) AS c FROM c2 LEFT JOIN g2 ON i >= lo AND i < hi GROUP BY cell),
+t2 AS (SELECT greatest(1, list_sort(list(c))[57]) AS scale FROM s2)
+SELECT string_agg(substr(' ▁▂▃▄▅▆▇█', least(8, c * 8 // scale)::INT + 1, 1), '' ORDER BY cell) AS sparkline FROM s2, t2""")
 def histogram_sparkline(spark, sf_dir):
     line = histogram.sparkline(histogram.histogram(session_log(spark, sf_dir).messages, HOUR), 60)
     return spark.createDataFrame([(line,)], "sparkline string")
@@ -251,14 +268,17 @@ def timeline_forward(spark, sf_dir):
     return found.select("ordinal", "msg_type", "ord_status")
 
 
-@query()
+@query(ORDERS + f""", e AS (SELECT pos, {_NS} AS ns, CASE t35 WHEN 'D' THEN 'N' WHEN '8' THEN 'X' WHEN 'G' THEN 'R' END AS l FROM m WHERE k = (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'P')),
+x AS (SELECT arg_min(ns, pos) AS a, arg_max(ns, pos) AS b FROM e),
+y AS (SELECT arg_max(l, pos) AS l, CASE WHEN a = b THEN 0 ELSE least(79, greatest(0, ns - a)::HUGEINT * 79 // greatest(1, b - a)) END AS c FROM e, x GROUP BY c)
+SELECT string_agg(coalesce(l, '.'), '' ORDER BY i) AS gantt FROM (SELECT unnest(range(80)) AS i) LEFT JOIN y ON c = i""")
 def timeline_gantt(spark, sf_dir):
     line = orders.gantt(orders.timeline(order_log(spark, sf_dir).messages, f"O{_first_replaced(spark, sf_dir)}"))
     return spark.createDataFrame([(line,)], "gantt string")
 
 
 _FILLS = """, f AS (SELECT *, row_number() OVER (PARTITION BY k, t17 ORDER BY pos) AS rn FROM m WHERE t35 = '8'),
-s AS (SELECT k, sum(t32::DOUBLE * t31::DOUBLE) FILTER (rn = 1) AS notional, count(*) FILTER (rn = 1) AS fills, count(*) AS seen FROM f GROUP BY k),
+s AS (SELECT k, (sum(t32::DECIMAL(12,0) * t31::DECIMAL(12,2)) FILTER (rn = 1))::DOUBLE AS notional, count(*) FILTER (rn = 1) AS fills, count(*) AS seen FROM f GROUP BY k),
 a AS (
   SELECT k, 'O' || k AS root, string_agg(DISTINCT t11, '→' ORDER BY t11) AS family, max(t55) AS symbol, max(t54) AS side, arg_max(t38, pos) FILTER (t38 IS NOT NULL)::DECIMAL(20,0) AS order_qty,
     coalesce(max(t14::BIGINT), 0)::DECIMAL(20,0) AS cum_qty, arg_max(t39, pos) FILTER (t35 = '8') AS status, min(epoch_us(ts) * 1000) AS first_ns, max(epoch_us(ts) * 1000) AS last_ns FROM m GROUP BY k)
@@ -276,10 +296,11 @@ def consolidated(spark, sf_dir):
     }).drop("avg_px")
 
 
-@query(ORDERS + _FILLS + """SELECT root AS root_clordid, fills, round(notional, 2) AS notional FROM a JOIN s USING (k) ORDER BY s.notional DESC, root LIMIT 25""")
-def consolidated_top(spark, sf_dir):
-    found = consolidate.ordered(consolidate.consolidated(order_log(spark, sf_dir).messages), "notional").limit(25)
-    return found.select("root_clordid", "fills", F.round("notional", 2).alias("notional"))
+@query(ORDERS + _FILLS + """SELECT row_number() OVER (ORDER BY coalesce(notional, 0) DESC, root) - 1 AS rank, root AS root_clordid, coalesce(fills, 0)::BIGINT AS fills,
+round(coalesce(notional, 0), 2) AS notional FROM a LEFT JOIN s USING (k)""")
+def consolidated_order(spark, sf_dir):
+    found = consolidate.ranked(consolidate.consolidated(order_log(spark, sf_dir).messages), "notional")
+    return found.select("rank", "root_clordid", F.col("fills").cast("long").alias("fills"), F.round("notional", 2).alias("notional"))
 
 
 @query(ORDERS + _FILLS + "SELECT count(*) AS orders, coalesce(sum(fills), 0)::BIGINT AS fills, round(sum(notional), 0) AS notional FROM a LEFT JOIN s USING (k)")
@@ -298,14 +319,14 @@ def family_members(spark, sf_dir):
     return consolidate.families(rows)
 
 
-@query(_events_sql() + "SELECT pos AS ordinal, seq FROM m ORDER BY seq, pos LIMIT 500")
+@query(_events_sql() + "SELECT row_number() OVER (ORDER BY seq, pos) - 1 AS rank, pos AS ordinal, seq FROM m")
 def sort_seq(spark, sf_dir):
-    return views.ordered(session_log(spark, sf_dir).messages, "seq").select("ordinal", u32(tag(34)).alias("seq")).limit(500)
+    return views.ranked(session_log(spark, sf_dir).messages, "seq").select("rank", "ordinal", u32(tag(34)).alias("seq"))
 
 
-@query(ORDERS + "SELECT pos AS ordinal, t52 FROM m ORDER BY t52, pos LIMIT 500")
+@query(ORDERS + "SELECT row_number() OVER (ORDER BY t52, pos) - 1 AS rank, pos AS ordinal, t52 FROM m")
 def sort_time(spark, sf_dir):
-    return views.ordered(order_log(spark, sf_dir).messages, "sending").select("ordinal", tag(52).alias("t52")).limit(500)
+    return views.ranked(order_log(spark, sf_dir).messages, "sending").select("rank", "ordinal", tag(52).alias("t52"))
 
 
 @query(ORDERS + "SELECT coalesce(min(pos) FILTER (pos > 5000), min(pos)) AS ordinal, min(pos) FILTER (pos > 5000) IS NULL AS wrapped FROM m WHERE t35 = 'G' AND pos <> 5000")
@@ -313,8 +334,13 @@ def search_next(spark, sf_dir):
     return views.search(order_log(spark, sf_dir).messages, "35=G", 5000)
 
 
-@query(ORDERS + "SELECT coalesce(max(pos) FILTER (pos < 0), max(pos)) AS ordinal, max(pos) FILTER (pos < 0) IS NULL AS wrapped FROM m WHERE t35 = 'G'")
+@query(ORDERS + "SELECT coalesce(max(pos) FILTER (pos < 500000), max(pos)) AS ordinal, max(pos) FILTER (pos < 500000) IS NULL AS wrapped FROM m WHERE t35 = 'G' AND pos <> 500000")
 def search_previous(spark, sf_dir):
+    return views.search(order_log(spark, sf_dir).messages, "35=G", 500_000, forward=False)
+
+
+@query(ORDERS + "SELECT max(pos) AS ordinal, true AS wrapped FROM m WHERE t35 = 'G'")
+def search_wraps(spark, sf_dir):
     return views.search(order_log(spark, sf_dir).messages, "35=G", 0, forward=False)
 
 
@@ -347,9 +373,11 @@ def summaries(spark, sf_dir):
     return order_log(spark, sf_dir).messages.select("ordinal", summary.detail().alias("detail"), F.array_join(summary.badges(), " · ").alias("status"))
 
 
-@query(ORDERS + """SELECT pos AS ordinal, substr(t52, 10, 8) AS time, CASE t35 WHEN 'D' THEN 'NewOrderSingle' WHEN 'G' THEN 'OrderCancelReplaceRequest' ELSE 'ExecutionReport' END AS message, t11 AS clordid FROM m""")
+@query(ORDERS + """SELECT pos AS ordinal, substr(t52, 10, 8) AS time, CASE t35 WHEN 'D' THEN 'NewOrderSingle' WHEN 'G' THEN 'OrderCancelReplaceRequest' ELSE 'ExecutionReport' END AS message, t11 AS clordid,
+CASE WHEN t35 = '8' THEN 'TRADE · ' || CASE t39 WHEN '2' THEN 'FILLED' ELSE 'PARTIALLY_FILLED' END ELSE '' END AS status,
+CASE t35 WHEN 'D' THEN concat_ws(' ', CASE t54 WHEN '1' THEN 'BUY' ELSE 'SELL' END, t38, t55, '@ ' || t44) WHEN 'G' THEN concat_ws(' ', CASE t54 WHEN '1' THEN 'BUY' ELSE 'SELL' END, t38) END AS detail FROM m""")
 def list_rows(spark, sf_dir):
-    return order_log(spark, sf_dir).messages.select("ordinal", *summary.list_row()[:3])
+    return order_log(spark, sf_dir).messages.select("ordinal", *summary.list_row())
 
 
 @query(ORDERS + """SELECT pos AS ordinal, CASE t54 WHEN '1' THEN 'BUY' WHEN '2' THEN 'SELL' END AS side, CASE t39 WHEN '2' THEN 'FILLED' WHEN '1' THEN 'PARTIALLY_FILLED' END AS status FROM m""")
@@ -394,7 +422,13 @@ def render_jsonl(spark, sf_dir):
     return render.jsonl(market_log(spark, sf_dir).messages)
 
 
-@query()
+@query("""SELECT p_partkey AS ordinal, 'Message @ offset ' || p_partkey || ' (' || (length('8=FIX.4.4|9=|10=000|') + length(n::VARCHAR) + n) || ' bytes) MarketDataSnapshotFullRefresh' || chr(10)
+|| string_agg('  ' || lpad(tag::VARCHAR, 5, ' ') || '  ' || rpad(name, 11, ' ') || ' = ' || CASE i WHEN 2 THEN n::VARCHAR WHEN 4 THEN 'P' || p_partkey WHEN 7 THEN p_size::VARCHAR WHEN 9 THEN (p_size + 1)::VARCHAR ELSE v END
+  || coalesce(' (' || label || ')', ''), chr(10) ORDER BY i) || chr(10) AS text
+FROM (SELECT *, length('35=W|55=P|268=2|269=0|270=|269=1|270=|58=end|') + length(p_partkey::VARCHAR) + length(p_size::VARCHAR) + length((p_size + 1)::VARCHAR) AS n FROM part),
+(VALUES (1, 8, 'BeginString', 'FIX.4.4', NULL), (2, 9, 'BodyLength', '', NULL), (3, 35, 'MsgType', 'W', NULL), (4, 55, 'Symbol', '', NULL), (5, 268, 'NoMDEntries', '2', NULL), (6, 269, 'MDEntryType', '0', 'BID'),
+(7, 270, 'MDEntryPx', '', NULL), (8, 269, 'MDEntryType', '1', 'OFFER'), (9, 270, 'MDEntryPx', '', NULL), (10, 58, 'Text', 'end', NULL), (11, 10, 'CheckSum', '000', NULL)) f(i, tag, name, v, label)
+GROUP BY p_partkey, n""")
 def render_pretty(spark, sf_dir):
     return render.pretty(market_log(spark, sf_dir).messages)
 
@@ -406,10 +440,22 @@ def index_metrics(spark, sf_dir):
     return stats.index_metrics(order_log(spark, sf_dir).messages)
 
 
-@query("SELECT 'FIX44' AS version, 0 AS n WHERE false UNION ALL SELECT v, 49 FROM (VALUES ('FIX44'), ('FIX50'), ('FIX50SP1'), ('FIX50SP2'), ('FIXT11')) t(v)")
+@query("SELECT * FROM (VALUES ('FIX44', 49, 20), ('FIXT11', 74, 8), ('FIX50', 27, 13), ('FIX50SP1', 28, 13), ('FIX50SP2', 29, 13)) t(version, fields, messages)")
 def dictionary_sizes(spark, sf_dir):
-    found = dictionary.builtin().sizes(spark)
-    return found.select("version", F.col("fields").alias("n"))
+    return dictionary.builtin().sizes(spark)
+
+
+@query("""SELECT p_partkey AS ordinal, CASE p_partkey % 4 WHEN 0 THEN 'MarketID' WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE NULL END AS t1301, CASE WHEN p_partkey % 4 IN (0, 2) THEN 'ApplID' END AS t1180,
+CASE WHEN p_partkey % 4 <> 3 THEN 'DefaultApplVerID' END AS t1137, 'Symbol' AS t55, CASE WHEN p_partkey % 4 <> 3 THEN 'Username' END AS t553 FROM part""")
+def resolve_versions(spark, sf_dir):
+    """Names by BeginString and ApplVerID: FIX.5.0 SP2, FIX.5.0, FIX.5.0 SP1 and FIX.4.4."""
+    kind = F.col("p_partkey") % 4
+    text = synth.body((35, "W"), (1128, F.when(kind == 0, "9").when(kind == 1, "7").when(kind == 2, "8")), (1301, "M"), (1180, "A"), (1137, "9"), (55, "P"), (553, "u"))
+    record = F.when(kind == 3, synth.framed(text)).otherwise(synth.framed(text, "FIXT.1.1"))
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), record.alias("record"))
+    found = render.resolved(read_records(rows, "record", "pos").messages)
+    name = lambda n: F.get(F.filter("fields", lambda f: f["tag"] == n), F.lit(0))["name"]
+    return found.select("ordinal", *[name(n).alias(f"t{n}") for n in (1301, 1180, 1137, 55, 553)])
 
 
 @query(ORDERS + "SELECT t35, count(*) AS n, count(t41) AS with_orig FROM m GROUP BY ALL")
@@ -423,3 +469,125 @@ def token_counts_by_type(spark, sf_dir):
 def sql_front_end(spark, sf_dir):
     order_log(spark, sf_dir).messages.withColumn("matches", to_column("(35=D OR 35=8) AND 11~. AND NOT 41~.")).createOrReplaceTempView("fix_messages")
     return spark.sql("SELECT ordinal FROM fix_messages WHERE matches")
+
+
+def _written(spark: SparkSession, rows: DataFrame, record: Column | str = "record", gzip: bool = False) -> str:
+    """Rows (pos, record) as a log in the shared folder: files of lines, in the order of pos."""
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    lines = rows.repartitionByRange("pos").sortWithinPartitions("pos").select(record)
+    lines.write.option("compression", "gzip" if gzip else "none").text(path)
+    return path
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.order_flow(_table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem"))
+
+
+def _plain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = synth.body((35, "B"), (11, F.col("event_id")), (58, F.col("event_type")))
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), synth.framed(text).alias("record"))
+
+
+@query(ORDERS + "SELECT row_number() OVER (ORDER BY pos) - 1 AS ordinal, t35, t11, t17, t52 FROM m")
+def file_messages(spark, sf_dir):
+    """A plain log on disk, framed by BodyLength and numbered over all its files."""
+    messages = read_log(spark, _written(spark, _orders(spark, sf_dir))).messages
+    return messages.select("ordinal", *[read(messages, n).alias(f"t{n}") for n in (35, 11, 17, 52)])
+
+
+@query(_events_sql() + _SESSIONS)
+def file_gzip_sessions(spark, sf_dir):
+    rows = synth.session_flow(_table(spark, sf_dir, "events"))
+    return _typed_sessions(read_log(spark, _written(spark, rows, gzip=True)).messages)
+
+
+@query(ORDERS + """, n AS (SELECT *, row_number() OVER (ORDER BY k % 2, pos) - 1 AS ordinal FROM m)
+SELECT (k % 2)::INT AS source, t35, count(*) AS n, min(ordinal) AS first, max(ordinal) AS last FROM n GROUP BY ALL""")
+def file_two_sources(spark, sf_dir):
+    """A plain source and a compressed one, of which the first comes first."""
+    rows = _orders(spark, sf_dir)
+    odd = F.floor(F.col("pos") / 1024) % 2
+    a, b = _written(spark, rows.where(odd == 0)), _written(spark, rows.where(odd == 1), gzip=True)
+    messages = read_log(spark, [a, b]).messages
+    source = F.col("source").endswith(".gz").cast("int")
+    return messages.groupBy(source.alias("source"), read(messages, 35).alias("t35")).agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
+
+
+_CONSOLIDATED = "SELECT root AS root_clordid, cum_qty::BIGINT AS cum_qty, round(coalesce(notional, 0), 2) AS notional, coalesce(fills, 0)::BIGINT AS fills, status AS final_ord_status FROM a LEFT JOIN s USING (k)"
+
+
+@query(ORDERS + _FILLS + _CONSOLIDATED)
+def saved_consolidated(spark, sf_dir):
+    """Consolidation of a log on disk in two sources, saved once and read from its columns."""
+    rows = _orders(spark, sf_dir)
+    odd = F.floor(F.col("pos") / 1024) % 2
+    log = read_log(spark, [_written(spark, rows.where(odd == 0)), _written(spark, rows.where(odd == 1), gzip=True)])
+    found = consolidate.consolidated(log.save(f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}").messages)
+    return found.select("root_clordid", F.col("cum_qty").cast("long").alias("cum_qty"), F.round("notional", 2).alias("notional"), F.col("fills").cast("long").alias("fills"), "final_ord_status")
+
+
+@query(ORDERS + "SELECT pos AS ordinal, t11, t17 FROM m WHERE t35 = '8' AND t39 = '2' AND t11 IS DISTINCT FROM 'O1'")
+def saved_filter(spark, sf_dir):
+    messages = order_log(spark, sf_dir).save(f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}").messages
+    return views.filtered(messages, "35=8 AND 39=2 AND 11!=O1").select("ordinal", read(messages, 11).alias("t11"), read(messages, 17).alias("t17"))
+
+
+_DAMAGE = """CASE WHEN event_id % 7 = 0 THEN 'InvalidBodyLength' WHEN event_id % 11 = 0 THEN 'InvalidTag' WHEN event_id % 13 = 0 THEN 'lost' ELSE 'good' END"""
+
+
+def _damaged_file(spark: SparkSession, sf_dir: str) -> Log:
+    """Messages with a BodyLength that is no number, a tag that is none, or no marker, behind noise."""
+    base, n = F.col("record"), F.col("pos")
+    broken = (
+        F.when(n % 7 == 0, F.replace(base, F.lit("\x019="), F.lit("\x019=x"))).when((n % 11 == 0), F.replace(base, F.lit("\x0158="), F.lit("\x01x8=")))
+        .when(n % 13 == 0, F.replace(base, F.lit("8=FIX"), F.lit("8=XIF"))).otherwise(F.concat(F.lit("noise "), base))
+    )
+    return read_log(spark, _written(spark, _plain_events(spark, sf_dir), broken))
+
+
+@query(f"SELECT code, count(*) AS n FROM (SELECT {_DAMAGE} AS code FROM events) WHERE code LIKE 'Invalid%' GROUP BY ALL")
+def file_errors(spark, sf_dir):
+    return _damaged_file(spark, sf_dir).errors.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS ordinal, event_id::VARCHAR AS t11 FROM events WHERE {_DAMAGE} = 'good'")
+def file_recovered(spark, sf_dir):
+    messages = _damaged_file(spark, sf_dir).messages
+    return messages.select("ordinal", read(messages, 11).alias("t11"))
+
+
+@query("""SELECT separator, prefix_len, event_id::VARCHAR AS t11, event_type AS t58 FROM events, (VALUES ('soh', 24), ('pipe', 0), ('caret', 24), ('semicolon', 0)) v(separator, prefix_len)""")
+def file_layouts(spark, sf_dir):
+    """Each separator, with and without a prefix before each line, as it is told from the first bytes."""
+    rows, found = _plain_events(spark, sf_dir), None
+    for separator, prefix in (("\x01", "20240101-00:00:00.000 : "), ("|", ""), ("^", "20240101-00:00:00.000 : "), (";", "")):
+        log = read_log(spark, _written(spark, rows, F.concat(F.lit(prefix), F.translate("record", "\x01", separator))))
+        one = log.messages.select(
+            F.lit(log.format.separator_name).alias("separator"), F.lit(log.format.prefix_len).alias("prefix_len"), read(log.messages, 11).alias("t11"), read(log.messages, 58).alias("t58")
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(ORDERS + "SELECT t35, count(*) AS n FROM m GROUP BY ALL")
+def file_native_scan(spark, sf_dir):
+    rows = scan_lines(spark, _written(spark, _orders(spark, sf_dir))).where("code IS NULL")
+    return rows.groupBy(tag(35).alias("t35")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(ORDERS + _FILLS + """, c AS (SELECT root, family, side, symbol, order_qty, cum_qty, coalesce(notional, 0) AS notional, coalesce(fills, 0) AS fills, status,
+  CASE WHEN cum_qty > 0 THEN coalesce(notional, 0) / cum_qty::DOUBLE ELSE 0 END AS px FROM a LEFT JOIN s USING (k))
+SELECT row_number() OVER (ORDER BY fills DESC, root) AS line, concat_ws(',', root, replace(family, '→', '|'), CASE side WHEN '1' THEN 'BUY' ELSE 'SELL' END, symbol, order_qty::BIGINT::VARCHAR, cum_qty::BIGINT::VARCHAR,
+  round(notional::DECIMAL(28,10), 4)::DECIMAL(28,4)::VARCHAR, round(px::DECIMAL(28,10), 4)::DECIMAL(28,4)::VARCHAR, fills::BIGINT::VARCHAR, CASE status WHEN '2' THEN 'FILLED' WHEN '1' THEN 'PARTIALLY_FILLED' ELSE '' END) AS text FROM c""")
+def report_consolidated(spark, sf_dir):
+    return reports.consolidated_csv(consolidate.consolidated(order_log(spark, sf_dir).messages), "fills").where("line > 0")
+
+
+@query(_events_sql() + """, x AS (SELECT sender, target, direction, seq, pos, lead(seq) OVER w AS nxt FROM m WINDOW w AS (PARTITION BY sender, target, direction ORDER BY seq, pos)),
+g AS (SELECT sender, target, count(*) AS gaps FROM x WHERE nxt > seq + 1 GROUP BY ALL), c AS (SELECT sender, target, t35, count(*) AS n FROM m GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY sender, target ORDER BY n DESC, t35) AS i FROM c), t AS (SELECT sender, target, string_agg(t35 || '=' || n, ' ' ORDER BY i) AS top FROM r WHERE i <= 3 GROUP BY ALL),
+s AS (SELECT sender, target, count(*) AS n, min(seq) AS a, max(seq) AS b FROM m GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY sender, target) AS line, rpad(sender || ' ↔ ' || target, 32, ' ') || lpad(n::VARCHAR, 9, ' ') || lpad(CASE WHEN length(top) > 18 THEN substr(top, 1, 17) || '…' ELSE top END, 19, ' ')
+  || lpad(a || '..' || b, 17, ' ') || lpad(coalesce(gaps, 0)::VARCHAR, 7, ' ') AS text FROM s JOIN t USING (sender, target) LEFT JOIN g USING (sender, target)""")
+def report_sessions(spark, sf_dir):
+    return reports.sessions_pretty(session_log(spark, sf_dir).messages).where("line > 0")

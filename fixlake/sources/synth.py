@@ -73,15 +73,17 @@ def _line_order():
 
 
 def session_flow(events: DataFrame) -> DataFrame:
-    """(pos, record): each event is a message of its user's session with GW, from one side or the other by its type; numbered by user and direction, with every 17th left out
-    afterwards, so that there are gaps."""
+    """(pos, record): each event is a message of its user's session with GW, from one side or the other by its type; numbered by user and direction, where a number is left out
+    before each event whose id 17 divides, so that there are gaps."""
     from pyspark.sql.window import Window
 
     kind = F.col("event_type")
     out = F.pmod(F.crc32(kind.cast("binary")), F.lit(3)) == 0
     user = F.concat(F.lit("U"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
-    numbered = events.withColumn("out", out).withColumn("seq", F.row_number().over(Window.partitionBy("user_id", "out").orderBy("ts", "event_id")))
-    return numbered.where("event_id % 17 <> 0").select(
+    order = Window.partitionBy("user_id", "out").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    jumps = F.sum(F.when(F.col("event_id") % 17 == 0, 1).otherwise(0)).over(order)
+    numbered = events.withColumn("out", out).withColumn("seq", F.row_number().over(order) + jumps)
+    return numbered.select(
         F.col("event_id").alias("pos"),
         framed(body((35, F.upper(F.substring(kind, 1, 1))), (34, F.col("seq")), (49, F.when(F.col("out"), F.lit("GW")).otherwise(user)),
                     (56, F.when(F.col("out"), user).otherwise(F.lit("GW"))), (52, time_text(F.col("ts"))), (58, kind))).alias("record"),
