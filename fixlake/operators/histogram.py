@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixlake.functions.graph import checkpointed
-from fixlake.functions.tokens import read
+from fixlake.functions.tokens import read, stored_tags
 from fixlake.functions.values import sending_ns
 
 #: Bins that are filled in; a finer histogram stays sparse only.
@@ -29,7 +29,8 @@ def dropped(messages: DataFrame) -> DataFrame:
 def histogram(messages: DataFrame, bucket_ns: int) -> DataFrame:
     """(start_ns, end_ns, count) of all bins from the first to the last, empty ones too. Raises ValueError beyond MOST_BINS bins."""
     bucket = max(1, bucket_ns)
-    bins = checkpointed(sparse(messages, bucket).where("start_ns IS NOT NULL"))  # the log is read once
+    bins = sparse(messages, bucket).where("start_ns IS NOT NULL")
+    bins = bins if stored_tags(messages) else checkpointed(bins)  # a text is read once
     ends = bins.agg(F.min("start_ns").alias("a"), F.max("start_ns").alias("b")).first()  # two numbers
     if ends["a"] is not None and (ends["b"] - ends["a"]) // bucket >= MOST_BINS:
         raise ValueError(f"more than {MOST_BINS} bins; take a larger bucket")

@@ -24,10 +24,20 @@ def with_session(messages: DataFrame) -> DataFrame:
 
 def sessions(messages: DataFrame) -> DataFrame:
     """(sender, target, in_count, out_count, by_msg_type, seq_min, seq_max): by_msg_type maps types to counts."""
+    return of_counts(counts(messages))
+
+
+def counts(messages: DataFrame) -> DataFrame:
+    """(sender, target, kind, i, o, a, b): what sessions are made of. Counts of parts of a log can be kept, and those of new messages added to them by union."""
     base = with_session(messages).where("sender IS NOT NULL").select("sender", "target", "direction", read(messages, 35).alias("kind"), u32(read(messages, 34)).alias("seq"))
-    kinds = base.groupBy("sender", "target", "kind").agg(
+    return base.groupBy("sender", "target", "kind").agg(
         F.count_if(F.col("direction") == "in").alias("i"), F.count_if(F.col("direction") == "out").alias("o"), F.min("seq").alias("a"), F.max("seq").alias("b")
     )
+
+
+def of_counts(found: DataFrame) -> DataFrame:
+    """The sessions of counts, of one part of a log or of several."""
+    kinds = found.groupBy("sender", "target", "kind").agg(F.sum("i").alias("i"), F.sum("o").alias("o"), F.min("a").alias("a"), F.max("b").alias("b"))
     counted = F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", (F.col("i") + F.col("o")).alias("n"))))
     return kinds.groupBy("sender", "target").agg(
         F.sum("i").alias("in_count"), F.sum("o").alias("out_count"), F.map_from_entries(F.array_sort(counted)).alias("by_msg_type"),
@@ -47,8 +57,18 @@ def seq_gaps(messages: DataFrame) -> DataFrame:
 
     Distinct numbers are ordered within buckets of `BUCKET` numbers, and only the buckets' ends across them, so that no task orders all of a busy session.
     """
+    return of_numbers(numbers(messages))
+
+
+def numbers(messages: DataFrame) -> DataFrame:
+    """(sender, target, direction, seq, last, first): the distinct sequence numbers with the last and the first message of each; they add up by union, as counts do."""
     base = with_session(messages).select("sender", "target", "direction", u32(read(messages, 34)).alias("seq"), "ordinal").where("sender IS NOT NULL AND seq IS NOT NULL")
-    numbers = base.groupBy("sender", "target", "direction", "seq").agg(F.max("ordinal").alias("last"), F.min("ordinal").alias("first"))
+    return base.groupBy("sender", "target", "direction", "seq").agg(F.max("ordinal").alias("last"), F.min("ordinal").alias("first"))
+
+
+def of_numbers(found: DataFrame) -> DataFrame:
+    """The gaps of sequence numbers, of one part of a log or of several."""
+    numbers = found.groupBy("sender", "target", "direction", "seq").agg(F.max("last").alias("last"), F.min("first").alias("first"))
     numbers = numbers.withColumn("bucket", F.floor(F.col("seq") / BUCKET))
     side = ["sender", "target", "direction"]
     order = Window.partitionBy(*side, "bucket").orderBy("seq")

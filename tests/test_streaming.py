@@ -1,29 +1,50 @@
-from fixlake.streaming.tail import TailReader, follow
+from fixlake.operators import sessions
+from fixlake.streaming.tail import TailReader, decided, follow
 
 
-def ids(rows):
-    return [r[2].split("11=")[1].split("\x01")[0] for r in rows]
+def ids(reader, start, end):
+    return [r[2].split("11=")[1].split("\x01")[0] for span in reader.partitions(start, end) for r in reader.read(span)]
 
 
 def test_reader_offsets(tmp_path, msg):
     path = str(tmp_path / "a.log")
-    a, b, c = (msg((35, "D"), (11, x)) for x in "ABC")
+    a, b, c = (msg((35, "D"), (11, x)) for x in ("A", "B", "C" * 3))
     reader = TailReader([path], None, "beginning")
     start = reader.initialOffset()
-    rows, at = reader.read(start)
-    assert list(rows) == []  # the file is not there yet
+    at = reader.latestOffset()
+    assert at == start and reader.partitions(start, at) == []  # the file is not there yet
     with open(path, "w") as out:
         out.write(a + "\n" + b[:20])
-    rows, at1 = reader.read(at)
-    assert ids(rows) == ["A"] and at1["at"][path] == len(a)
+    at1 = reader.latestOffset()
+    assert ids(reader, at, at1) == ["A"] and at1["at"][path] == len(a)
+    assert TailReader([path], None, "end").initialOffset()["at"][path] == len(a)  # a message that is not whole yet is not lost
     with open(path, "a") as out:
         out.write(b[20:])
-    rows, at2 = reader.read(at1)
-    assert ids(rows) == ["B"] and ids(reader.readBetweenOffsets(at1, at2)) == ["B"]
-    assert list(reader.read(at2)[0]) == []
+    at2 = reader.latestOffset()
+    assert ids(reader, at1, at2) == ["B"] and ids(TailReader([path], None, "beginning", range_size=7), start, at2) == ["A", "B"]
+    assert reader.latestOffset() == at2 and reader.partitions(at2, at2) == []
     with open(path, "w") as out:  # rotated
         out.write(c)
-    assert ids(reader.read(at2)[0]) == ["C"]
+    at3 = reader.latestOffset()
+    assert ids(reader, at2, at3) == ["CCC"] and at3["at"][path] == len(c)
+
+
+def test_damage_does_not_hold_up(tmp_path, msg):
+    """A message that never becomes whole is passed by when more than a message may be long stands behind it."""
+    path, good = tmp_path / "a.log", msg((35, "D"), (11, "A"))
+    path.write_text("8=FIX.4.4\x019=99999\x0135=D\x01" + good)
+    path.write_text("8=FIX.4.4\x019=99999\x0135=D\x01" + good * 5)
+    assert decided(str(path), 0, "\x01", 100) == len(path.read_text()) and decided(str(path), 0, "\x01") == 0
+
+
+def test_sessions_of_parts(spark, log_of):
+    """Counts of parts of a log add up to those of the whole, so new messages need no second look at old ones."""
+    rows = [((35, "D8"[i % 2]), (49, "AB"[i % 2]), (56, "BA"[i % 2]), (34, str(i + i // 7))) for i in range(40)]
+    messages = log_of(*rows).messages
+    parts = [messages.where("ordinal < 15"), messages.where("ordinal >= 15")]
+    whole = lambda frame: sorted(map(repr, frame.collect()))
+    assert whole(sessions.of_counts(sessions.counts(parts[0]).unionByName(sessions.counts(parts[1])))) == whole(sessions.sessions(messages))
+    assert whole(sessions.of_numbers(sessions.numbers(parts[0]).unionByName(sessions.numbers(parts[1])))) == whole(sessions.seq_gaps(messages)) != []
 
 
 def test_follow(spark, tmp_path, msg):
