@@ -11,6 +11,7 @@ from fixlake.functions.values import sending_ns
 
 #: Bins that are filled in; a finer histogram stays sparse only.
 MOST_BINS = 10_000_000
+# Eighths of a column
 LEVELS = " ▁▂▃▄▅▆▇█"
 
 

@@ -19,13 +19,16 @@ def filtered(messages: DataFrame, user: str | None, hide_heartbeats: bool = Fals
 
 
 def by_postings(messages: DataFrame, looked_up: DataFrame, user: str) -> DataFrame:
-    """As filtered, for a conjunction of equalities on hot tags by semi-joins with postings (tag, value, ordinal); other filters scan."""
+    """As filtered, for a conjunction of equalities on hot tags by semi-joins with postings (tag, value, ordinal); other filters scan. Of saved postings only the buckets of
+    the filter's values are read."""
     pairs = hot_equalities(parse(user))
     if pairs is None:
         return filtered(messages, user)
     for number, value in pairs:
-        hits = looked_up.where((F.col("tag") == number) & (F.col("value") == value)).select("ordinal")
-        messages = messages.join(hits, "ordinal", "left_semi")
+        hits = looked_up.where((F.col("tag") == number) & (F.col("value") == value))
+        if "bucket" in looked_up.columns:
+            hits = hits.where(F.col("bucket") == bucket(F.lit(number), F.lit(value)))
+        messages = messages.join(hits.select("ordinal"), "ordinal", "left_semi")
     return messages
 
 
@@ -33,6 +36,22 @@ def index(messages: DataFrame, hot: tuple[int, ...] = HOT) -> DataFrame:
     return postings(messages, hot)
 
 
+#: Folders of saved postings, and tasks that share one, as a frequent value is in one folder.
+BUCKETS, SHARED = 64, 16
+
+
+def bucket(number: Column, value: Column) -> Column:
+    return F.pmod(F.xxhash64(number.cast("long"), value), F.lit(BUCKETS)).cast("int")
+
+
+def save_index(messages: DataFrame, folder: str, hot: tuple[int, ...] = HOT) -> DataFrame:
+    """Write the postings, in folders by a hash of tag and value, and read them from there."""
+    rows = index(messages, hot).withColumn("bucket", bucket(F.col("tag"), F.col("value")))
+    rows = rows.repartition("bucket", F.pmod("ordinal", F.lit(SHARED))).sortWithinPartitions("bucket", "tag", "value", "ordinal")
+    rows.write.partitionBy("bucket").parquet(folder)
+    return messages.sparkSession.read.schema("tag long, value string, ordinal long, bucket int").parquet(folder)
+
+
 #: Orders of a view: by position, sequence number, TransactTime and SendingTime; what a message lacks comes last.
 SORTS = {"natural": None, "seq": lambda m: u32(read(m, 34)), "transact": lambda m: read(m, 60), "sending": lambda m: read(m, 52)}
 CYCLE = tuple(SORTS)

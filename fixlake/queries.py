@@ -532,6 +532,13 @@ def saved_filter(spark, sf_dir):
     return views.filtered(messages, "35=8 AND 39=2 AND 11!=O1").select("ordinal", read(messages, 11).alias("t11"), read(messages, 17).alias("t17"))
 
 
+@query(ORDERS + "SELECT pos AS ordinal FROM m WHERE t35 = '8' AND t37 = (SELECT 'X' || min(k) FROM m WHERE t35 = 'G')")
+def saved_postings(spark, sf_dir):
+    messages = order_log(spark, sf_dir).messages
+    looked_up = views.save_index(messages, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}", (35, 37))
+    return views.by_postings(messages, looked_up, f"35=8 AND 37=X{_first_replaced(spark, sf_dir)}").select("ordinal")
+
+
 _DAMAGE = """CASE WHEN event_id % 7 = 0 THEN 'InvalidBodyLength' WHEN event_id % 11 = 0 THEN 'InvalidTag' WHEN event_id % 13 = 0 THEN 'lost' ELSE 'good' END"""
 
 

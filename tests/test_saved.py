@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from tests.conftest import message
@@ -68,6 +69,17 @@ def test_filters_reach_the_scan(logs):
     assert "t35" in plan.split("PushedFilters")[1].split("]")[0] and "raw:" not in plan.split("ReadSchema")[1]
 
 
+def test_saved_postings(logs):
+    log, saved, folder = logs
+    looked_up = views.save_index(saved.messages, f"file://{folder}/postings")
+    assert plain(looked_up.drop("bucket")) == plain(views.index(log.messages))
+    for text in ("35=D AND 49=A", "35=D", "11=O3 AND 35=8", "35=none", "55=S1"):
+        found = views.by_postings(saved.messages, looked_up, text)
+        assert plain(found.select("ordinal")) == plain(views.filtered(log.messages, text).select("ordinal")), text
+    plan = views.by_postings(saved.messages, looked_up, "37=X1")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#[0-9]+ = [0-9]+", plan)
+
+
 def test_ranks_are_places(logs):
     rows = logs[1].messages
     for by in ("natural", "seq", "sending", "transact"):
