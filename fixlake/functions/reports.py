@@ -1,6 +1,6 @@
 """Sessions, timelines and consolidated orders as text: tables to read, CSV and JSON.
 
-Each report is a DataFrame of one line a row, (line, text), to be ordered by line; lines are made by Column expressions and numbered by the order of the report. Amounts are rounded by their shortest decimal form, halves away from zero.
+Each report is a DataFrame of one line a row, (line, text), to be ordered by line; lines are made by Column expressions and numbered by the order of the report. Amounts in CSV and JSON are rounded as decimals, halves away from zero.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fixlake.functions.render import csv_escape, json_text
-from fixlake.functions.summary import family_display, format_int, format_money, format_price, side_label, status_label, truncate
+from fixlake.functions.dictionary import Dictionary
+from fixlake.functions.render import csv_escape, json_text, resolved
+from fixlake.functions.summary import family_display, format_int, format_money, format_price, raw_display, side_label, status_label, truncate, without_common
 from fixlake.operators import consolidate, orders, sessions
 
 #: Columns of a timeline's bar.
@@ -108,11 +109,23 @@ def _whole(n: Column) -> Column:
     return n.cast("decimal(20,0)").cast("string")
 
 
+def _four(value: Column, plain: Column) -> Column:
+    """Four places of a decimal, halves away from zero; what decimals can't hold as it is."""
+    return F.coalesce(F.round(value, 4).try_cast("decimal(32,4)").cast("string"), F.format_string("%.4f", plain))
+
+
+def _amounts() -> tuple[Column, Column]:
+    """Notional and average price with four places; the price from the notional and not from its own rounded quotient."""
+    notional = F.round(F.col("notional").try_cast("decimal(28,10)"), 6)  # the digits that a double has of such amounts
+    price = F.when(F.col("cum_qty") > 0, notional / F.col("cum_qty").cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(28,10)"))
+    return _four(notional, F.col("notional")), _four(price, F.col("avg_px"))
+
+
 def consolidated_csv(found: DataFrame, by: str = "notional") -> DataFrame:
     empty = lambda c: F.coalesce(c, F.lit(""))
     text = F.concat_ws(
         ",", csv_escape(F.col("root_clordid")), csv_escape(F.array_join("family", "|")), empty(side_label(F.col("side"))), csv_escape(empty(F.col("symbol"))),
-        empty(_whole(F.col("order_qty"))), _whole(F.col("cum_qty")), F.format_string("%.4f", "notional"), F.format_string("%.4f", "avg_px"), F.col("fills").cast("string"),
+        empty(_whole(F.col("order_qty"))), _whole(F.col("cum_qty")), *_amounts(), F.col("fills").cast("string"),
         csv_escape(empty(status_label(F.col("final_ord_status")))),
     )
     return _lines(found, consolidate.sort_key(by), text, ["root_clordid,family,side,symbol,order_qty,cum_qty,notional,avg_px,fills,final_ord_status"])
@@ -124,13 +137,25 @@ def consolidated_json(found: DataFrame, by: str = "notional") -> DataFrame:
     text = F.concat(
         F.lit('{"root_clordid":'), json_text(F.col("root_clordid")), F.lit(',"family":['), F.array_join(F.transform("family", json_text), ","), F.lit("]"),
         part("symbol", json_text(F.col("symbol"))), part("side", json_text(side_label(F.col("side")))), part("order_qty", _whole(F.col("order_qty"))),
-        F.lit(',"cum_qty":'), _whole(F.col("cum_qty")), F.format_string(',"notional":%.4f,"avg_px":%.4f,"fills":%d', "notional", "avg_px", "fills"),
+        F.lit(',"cum_qty":'), _whole(F.col("cum_qty")), F.lit(',"notional":'), _amounts()[0], F.lit(',"avg_px":'), _amounts()[1], F.format_string(',"fills":%d', "fills"),
         part("final_ord_status", json_text(status_label(F.col("final_ord_status")))), F.lit("}"),
     )
     more = F.lead(F.lit(",")).over(Window.orderBy(*consolidate.sort_key(by)))
     return _lines(found.withColumn("_more", F.coalesce(more, F.lit(""))), consolidate.sort_key(by), F.concat(text, "_more"), ["["], ["]"])
 
 
+def detail_table(messages: DataFrame, d: Dictionary | None = None, hide_common: bool = False) -> DataFrame:
+    """(ordinal, pos, tag, name, type, raw, decoded): the fields of messages; names of fields within a repeating group are indented."""
+    rows = resolved(messages, d)
+    if hide_common:
+        rows = rows.withColumn("fields", without_common("fields"))
+    name = F.concat(F.when(F.col("f.depth") > 0, "└ ").otherwise(""), F.coalesce("f.name", F.lit("?")))
+    return rows.select("ordinal", F.explode("fields").alias("f")).select(
+        "ordinal", "f.pos", "f.tag", name.alias("name"), F.coalesce("f.field_type", F.lit("")).alias("type"), raw_display(F.col("f.value")).alias("raw"),
+        F.coalesce("f.value_label", F.lit("")).alias("decoded"),
+    )
+
+
 def summary_table(spark: SparkSession, rows: list[tuple[str, object]], width: int) -> DataFrame:
     """Named values, one a line, names as wide as this."""
     return spark.createDataFrame([(i, f"{name + ':':<{width}}{value}") for i, (name, value) in enumerate(rows)], "line long, text string")

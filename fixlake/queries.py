@@ -361,6 +361,13 @@ def resolve_fields(spark, sf_dir):
     return found.where("f.tag NOT IN (8, 9, 10)").select("ordinal", "f.pos", "f.tag", "f.name", "f.value_label", "f.depth")
 
 
+@query("""SELECT p_partkey AS ordinal, pos, tag::BIGINT AS tag, name, type, CASE pos WHEN 3 THEN 'P' || p_partkey WHEN 6 THEN p_size::VARCHAR WHEN 8 THEN (p_size + 1)::VARCHAR ELSE v END AS raw, decoded FROM part,
+(VALUES (3, 55, 'Symbol', 'STRING', '', ''), (4, 268, 'NoMDEntries', 'NUMINGROUP', '2', ''), (5, 269, '└ MDEntryType', 'CHAR', '0', 'BID'), (6, 270, '└ MDEntryPx', 'PRICE', '', ''),
+(7, 269, '└ MDEntryType', 'CHAR', '1', 'OFFER'), (8, 270, '└ MDEntryPx', 'PRICE', '', ''), (9, 58, 'Text', 'STRING', 'end', '')) v(pos, tag, name, type, v, decoded)""")
+def detail_rows(spark, sf_dir):
+    return reports.detail_table(market_log(spark, sf_dir).messages, hide_common=True)
+
+
 @query("SELECT p_partkey AS ordinal, 'MarketDataSnapshotFullRefresh' AS msg_type_name, 11 AS n FROM part")
 def message_names(spark, sf_dir):
     return render.resolved(market_log(spark, sf_dir).messages).select("ordinal", "msg_type_name", F.size("fields").alias("n"))
@@ -583,9 +590,9 @@ def file_native_scan(spark, sf_dir):
 
 
 @query(ORDERS + _FILLS + """, c AS (SELECT root, family, side, symbol, order_qty, cum_qty, coalesce(notional, 0) AS notional, coalesce(fills, 0) AS fills, status,
-  CASE WHEN cum_qty > 0 THEN coalesce(notional, 0) / cum_qty::DOUBLE ELSE 0 END AS px FROM a LEFT JOIN s USING (k))
+  CASE WHEN cum_qty > 0 THEN (round(coalesce(notional, 0) * 100)::HUGEINT * 200 + cum_qty::HUGEINT) // (2 * cum_qty::HUGEINT) ELSE 0 END AS u FROM a LEFT JOIN s USING (k))
 SELECT row_number() OVER (ORDER BY fills DESC, root) AS line, concat_ws(',', root, replace(family, '→', '|'), CASE side WHEN '1' THEN 'BUY' ELSE 'SELL' END, symbol, order_qty::BIGINT::VARCHAR, cum_qty::BIGINT::VARCHAR,
-  round(notional::DECIMAL(28,10), 4)::DECIMAL(28,4)::VARCHAR, round(px::DECIMAL(28,10), 4)::DECIMAL(28,4)::VARCHAR, fills::BIGINT::VARCHAR, CASE status WHEN '2' THEN 'FILLED' WHEN '1' THEN 'PARTIALLY_FILLED' ELSE '' END) AS text FROM c""")
+  notional::DECIMAL(28,4)::VARCHAR, (u // 10000)::VARCHAR || '.' || lpad((u % 10000)::VARCHAR, 4, '0'), fills::BIGINT::VARCHAR, CASE status WHEN '2' THEN 'FILLED' WHEN '1' THEN 'PARTIALLY_FILLED' ELSE '' END) AS text FROM c""")
 def report_consolidated(spark, sf_dir):
     return reports.consolidated_csv(consolidate.consolidated(order_log(spark, sf_dir).messages), "fills").where("line > 0")
 
