@@ -55,6 +55,7 @@ MEMORY = 500_000
 CHUNK = 1 << 17
 _WORDS = re.compile(r"[^\W_]+")
 _ODD = 0x9E3779B97F4A7C15
+_BIT = (1 << np.arange(8)).astype(np.uint8)
 
 
 class Words:
@@ -116,29 +117,34 @@ class Benchmark:
         self.bits = max(16, int(np.ceil(np.log2(len(self.keys) + 1))) + 6)
         self.filter = np.zeros(1 << (self.bits - 3), dtype=np.uint8)
         low = self._low(self.keys)
-        np.bitwise_or.at(self.filter, low >> 3, (1 << (low & 7)).astype(np.uint8))
+        np.bitwise_or.at(self.filter, low >> 3, _BIT[low & 7])
 
     def _low(self, keys: np.ndarray) -> np.ndarray:
         return (keys & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
-    def alignments(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item's number, where its first word would be in the text) of each hit."""
-        found: set[tuple[int, int]] = set()
+    def alignments(self, words: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text's number, item's number, where its first word would be) of each hit in texts that stand one behind the other and end at `ends`. A window that spans two
+        texts can only propose an alignment, which is then checked within one."""
+        found: set[tuple[int, int, int]] = set()
         for mask in sorted(self.masks):
             for at in range(0, max(1, len(words)), CHUNK):
                 keys = seeds(words[at : at + CHUNK + len(mask) - 1], mask)
                 low = self._low(keys)
-                maybe = np.flatnonzero(self.filter[low >> 3] >> (low & 7) & 1)
+                maybe = np.flatnonzero(self.filter[low >> 3] & _BIT[low & 7])
                 if len(maybe) == 0:
                     continue
                 first, last = (np.searchsorted(self.keys, keys[maybe], side=s) for s in ("left", "right"))
-                hits = last - first
-                ends = np.cumsum(hits)
-                cuts = np.searchsorted(ends, np.arange(HITS, int(ends[-1]) + HITS, HITS))  # words that repeat have many hits
+                real = last > first
+                if not real.any():
+                    continue
+                first, hits, places = first[real], (last - first)[real], maybe[real] + at
+                total = np.cumsum(hits)
+                cuts = np.searchsorted(total, np.arange(HITS, int(total[-1]) + HITS, HITS))  # words that repeat have many hits
                 for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hits)], strict=True):
                     n = hits[a:b]
                     k = np.repeat(first[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    pairs = np.stack([self.item_of[k], np.repeat(maybe[a:b] + at, n) - self.offset_of[k]], axis=1)
+                    place = np.repeat(places[a:b], n)
+                    pairs = np.stack([np.searchsorted(ends, place, side="right"), self.item_of[k], place - self.offset_of[k]], axis=1)
                     found.update(map(tuple, np.unique(pairs, axis=0).tolist()))
         return found
 
@@ -162,14 +168,21 @@ class Benchmark:
 
     def check(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(item id, words, agreeing words) of each item that the text overlaps, by item."""
-        found: dict[int, tuple[int, int]] = {}
-        for item, start in sorted(self.alignments(words)):
-            if found.get(item, (0, 0))[1] == len(self.words[item]):
+        return self.check_all([words])[0]
+
+    def check_all(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+        """The same of several texts, whose windows are looked up together."""
+        sizes = np.array([len(w) for w in texts], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+        for text, item, start in sorted(self.alignments(np.concatenate(texts), ends) if texts else ()):
+            best = found[text].get(item, (0, 0))
+            if best[1] == len(self.words[item]):
                 continue  # the whole item has been found
-            length, same = self.longest(words, item, start)
-            if length >= min(self.min_words, len(self.words[item])) and (length, same) > found.get(item, (0, 0)):
-                found[item] = (length, same)
-        return sorted((self.ids[i], n, same) for i, (n, same) in found.items())
+            length, same = self.longest(texts[text], item, start - int(ends[text] - sizes[text]))
+            if length >= min(self.min_words, len(self.words[item])) and (length, same) > best:
+                found[text][item] = (length, same)
+        return [sorted((self.ids[i], n, same) for i, (n, same) in f.items()) for f in found]
 
 
 def _parts(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
@@ -220,8 +233,8 @@ def overlaps(
         for part in parts:
             held = _part(part)
             for w, found in zip(words, every, strict=True):
-                for one, x in zip(w, found, strict=True):
-                    x += held.check(one)
+                for x, more in zip(found, held.check_all(w), strict=True):
+                    x += more
         for batch, found in zip(group, every, strict=True):
             items, longest = [sorted({i for i, _, _ in f}) for f in found], [max((n for _, n, _ in f), default=0) for f in found]
             new = [pa.array(items, pa.list_(pa.int64())), pa.array(longest, pa.int64())]
