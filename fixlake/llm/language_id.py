@@ -67,14 +67,19 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
         at = end
 
 
-def word_counts(text: str, size: int = SEGMENT) -> Counter:
-    """The words of a text in lower case, with their numbers."""
+def runs(text: str, size: int = SEGMENT) -> Counter:
+    """The runs of letters of a text, with their numbers."""
     pattern = _ASCII_LETTERS if text.isascii() else _LETTERS
     found: Counter = Counter()
     for part in segments(text, size):
         found.update(pattern.findall(part))
+    return found
+
+
+def word_counts(text: str, size: int = SEGMENT) -> Counter:
+    """The words of a text in lower case, with their numbers."""
     lower: Counter = Counter()
-    for word, n in found.items():
+    for word, n in runs(text, size).items():
         lower[word.lower()] += n
     return lower
 
@@ -105,23 +110,20 @@ class Grams:
 
 def grams_of(words: list[str], order: int, step: int = STEP) -> Iterator[Grams]:
     """The words' grams in steps of about `step` symbols, each symbol scored once, whatever the length of a word."""
-    parts, of, first, known, size = [], [], [], [], 0
-    for i, word in enumerate(words):
-        marked = _BEGIN + word + _END
-        at = 1  # the first mark is never predicted
-        while at < len(marked):
-            begin, end = max(0, at - order + 1), min(len(marked), at + step)
-            parts.append(marked[begin:end])
-            of.append(i)
-            first.append(begin)
-            known.append(at - begin)
-            size += end - begin
-            at = end
-            if size >= step:
-                yield Grams(parts, *(np.array(x, dtype=np.int64) for x in (of, first, known)))
-                parts, of, first, known, size = [], [], [], [], 0
-    if parts:
-        yield Grams(parts, *(np.array(x, dtype=np.int64) for x in (of, first, known)))
+    marked = [f"{_BEGIN}{w}{_END}" for w in words]
+    sizes = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    at = 0
+    while at < len(words):
+        # as many whole words as a step takes, or one that is longer, in parts with the symbols before them
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + step]), step, side="right")))
+        if n > 1 or sizes[at] <= step:
+            zero = np.zeros(n, dtype=np.int64)
+            yield Grams(marked[at : at + n], np.arange(at, at + n), zero, zero + 1)
+        else:
+            for begin in range(1, int(sizes[at]), step):
+                first = max(0, begin - order + 1)
+                yield Grams([marked[at][first : begin + step]], np.array([at]), np.array([first]), np.array([begin - first]))
+        at += n
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
@@ -184,7 +186,8 @@ class Model:
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.size = 0
-        self.rows = np.zeros((0, len(self.names)))
+        #: For each known run of letters, the log-probability of its word under each language, and the word's symbols.
+        self.rows = np.zeros((0, len(self.names) + 1))
 
     def __getstate__(self) -> dict:
         return {"names": self.names, "models": self.models, "regression": self.regression, "limits": self.limits}
@@ -194,7 +197,7 @@ class Model:
         self._forget()
 
     def _learn(self, counters: list[Counter]) -> None:
-        """Make sure that the log-probabilities of these words are known."""
+        """Make sure that the log-probabilities of these runs of letters are known."""
         new = list(set().union(*counters).difference(self.place))
         if new and ((len(self.place) + len(new)) * len(self.names) > MEMORY or self.size > 8 * MEMORY):
             self._forget()
@@ -202,20 +205,24 @@ class Model:
         self.size += sum(map(len, new))
         if not new:
             return
-        order, rows = max(m.order for m in self.models), np.zeros((len(new), len(self.models)))
-        for grams in grams_of(new, order):
+        lower = [w.lower() for w in new]
+        words = sorted(set(lower))
+        order, rows = max(m.order for m in self.models), np.zeros((len(words), len(self.models) + 1))
+        rows[:, -1] = [len(w) + 1 for w in words]
+        for grams in grams_of(words, order):
             hashes = [(grams.hashes(n), grams.hashes(n - 1, 1)) for n in range(1, order + 1)]
             a, b = int(grams.word[0]), int(grams.word[-1]) + 1
             grams.word = grams.word - a
-            rows[a:b] += np.stack([m.log_probabilities(grams, b - a, hashes) for m in self.models], axis=1)
+            rows[a:b, :-1] += np.stack([m.log_probabilities(grams, b - a, hashes) for m in self.models], axis=1)
+        at = dict(zip(words, range(len(words)), strict=True))
+        self.rows = np.concatenate([self.rows, rows[[at[w] for w in lower]]])
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        self.rows = np.concatenate([self.rows[: len(self.place) - len(new)], rows])
 
     def entropies(self, texts: list[str | None]) -> list[tuple[np.ndarray, int] | None]:
         """For each text, nats per symbol under each language, and the number of symbols; None without letters."""
         if not self.models:
             return [None] * len(texts)
-        counters = [word_counts(t) if t else Counter() for t in texts]
+        counters = [runs(t) if t else Counter() for t in texts]
         self._learn(counters)
         out: list[tuple[np.ndarray, int] | None] = []
         for counts in counters:
@@ -224,8 +231,8 @@ class Model:
                 continue
             at = np.fromiter(map(self.place.__getitem__, counts), dtype=np.int64, count=len(counts))
             weight = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-            symbols = sum((len(w) + 1) * n for w, n in counts.items())
-            out.append((-(weight @ self.rows[at]) / symbols, symbols))
+            *logs, symbols = weight @ self.rows[at]
+            out.append((-np.array(logs) / symbols, int(symbols)))
         return out
 
     @staticmethod
