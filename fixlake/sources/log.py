@@ -56,8 +56,8 @@ def read_saved(spark: SparkSession, folder: str) -> Log:
 
 
 def head(spark: SparkSession, path: str, n: int = SNIFF_WINDOW) -> bytes:
-    """The first bytes of a source, uncompressed."""
-    ((path, _),) = file_sizes(spark, [path])
+    """The first bytes of a source, of a folder's first file, uncompressed."""
+    path = file_sizes(spark, [path])[0][0]
     data = b""
     for block in _blocks(path, 0):
         data += block[: n - len(data)]
