@@ -57,8 +57,8 @@ def with_chunks(df: DataFrame, text: str, out: str, long: int = LONG) -> DataFra
     return df.drop("__l", "__r", "__e", "__c")
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", long: int = LONG, counts: bool = False) -> DataFrame:
-    """The rows with repeated chunks removed from the text; with `counts`, also n_chunks and n_removed."""
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", long: int = LONG, counts: bool = False, emptied: bool = True) -> DataFrame:
+    """The rows with repeated chunks removed from the text; with `counts`, also n_removed. Without `emptied`, rows of which nothing but line ends is left go."""
     columns = df.columns
     named = df.withColumn("__id", F.xxhash64(F.col(key), F.col(text)))
     cut = with_chunks(named.select(key, text, "__id"), text, "__chunks", long)
@@ -86,6 +86,12 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", long: in
     cleaned = F.when(touched, F.array_join(F.transform("__kept", lambda x: x["text"]), "\n")).otherwise(F.col(text))
     gone = F.when(touched, F.size("__chunks") - F.size("__kept")).otherwise(0)
     out = kept.select(*[cleaned.alias(text) if c == text else F.col(f"`{c}`") for c in columns], gone.cast("long").alias("__gone"))
+    if not emptied:
+        # what a generator makes is not computed once more in the filter above it
+        rest = [F.col(f"`{c}`") for c in columns if c != text]
+        out = out.select(*rest, F.inline(F.array(F.struct(F.col(text).alias("__text"), F.col("__gone").alias("__gone")))))
+        out = out.where((F.col("__gone") == 0) | (F.replace(F.col("__text"), F.lit("\n"), F.lit("")) != ""))
+        out = out.select(*[F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in columns], "__gone")
     return out.withColumnRenamed("__gone", "n_removed") if counts else out.drop("__gone")
 
 
