@@ -4,9 +4,10 @@ At that similarity 64 bits differ in about ten places, which no small radius cov
 have 1,024 bits of the distinct shingles, compared exactly in tiles by exclusive-or and bit counts as in `simhash`; a pair of tiles
 whose population counts differ by more than the radius is skipped. Two sets of Jaccard similarity s differ in about
 acos(2 s / (1 + s)) / pi of the bits: 155 of 1,024 at 0.8, with a standard deviation of 11.5. Fingerprints only propose pairs; a pair
-is linked if the Jaccard similarity of its two sets of 64-bit shingle hashes is 0.8 or more. Pairs are proposed in two rounds: first a
-spanning forest of each block's pairs within `RADIUS`, then all pairs of a block within the wide radius (five standard
-deviations above what any sizes of two sets at 0.8 are expected to differ in) that the links so far leave in different components.
+is linked if the Jaccard similarity of its two sets of 64-bit shingle hashes is 0.8 or more. Pairs are proposed in rounds: first a
+spanning forest of each block's pairs within `RADIUS`, then, until a round finds no link, a spanning forest of a block's pairs within the wide radius (five standard
+deviations above what any sizes of two sets at 0.8 are expected to differ in) over the components that the links so far leave, in an order of the round's own. So a block never proposes more
+pairs at a time than it has rows, however many of them are nearly alike; a link is lost where the last round proposes other pairs of its components, which are not alike enough.
 
 The tiles of the grid are laid over `KEYS` keys, each a hash of three of the set's 16 least permuted hashes. Two sets share a key with
 probability s cubed, so at 0.8 about one pair in a hundred shares none. A passage that is a share f of a text makes a key hot for a share f cubed
@@ -21,6 +22,7 @@ stands for one node; a row with a null id links with nothing; an empty table giv
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixlake.functions.graph import checkpointed, connected_components
-from fixlake.llm.blocks import blocks, bounds, dealt, spanning
+from fixlake.llm.blocks import Forest, blocks, bounds, dealt, spanning
 from fixlake.llm.common import per_row
 from fixlake.llm.simhash import keep_smallest
 
@@ -191,33 +193,47 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     return dealt(keyed, "k", "node", tile).mapInArrow(run, "src long, dst long")
 
 
-def cross_pairs(fps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, groups: np.ndarray, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs of different groups within the wide radius whose sizes allow the similarity (of two sides, across)."""
+def cross_pairs(fps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, groups: np.ndarray, order: np.ndarray, step: int = STEP) -> list[tuple[int, int]]:
+    """Row numbers of pairs of different groups within the wide radius whose sizes allow the similarity (of two sides, across): a spanning forest over the groups, in which
+    rows of smaller `order` come first."""
     two = bool(sides.min() != sides.max())
-    order = lambda rows: rows[np.lexsort((groups[rows], sizes[rows]))]
-    left = order(np.flatnonzero(sides == sides.min()))
-    right = order(np.flatnonzero(sides == sides.max())) if two else left
+    sort = lambda rows: rows[np.argsort(sizes[rows], kind="stable")]
+    left = sort(np.flatnonzero(sides == sides.min()))
+    right = sort(np.flatnonzero(sides == sides.max())) if two else left
     num, den = SIMILAR
+    _, group = np.unique(groups, return_inverse=True)
+    forest, label, out = Forest(int(group.max()) + 1), group.copy(), []
     for a in range(0, len(left), step):
         rows = left[a : a + step]
         for b in range(0 if two else a, len(right), step):
             cols = right[b : b + step]
             if den * sizes[rows[-1]] < num * sizes[cols[0]] or den * sizes[cols[-1]] < num * sizes[rows[0]]:
                 continue
-            if groups[rows].min() == groups[cols].max() and groups[rows].max() == groups[cols].min():
+            if label[rows].min() == label[cols].max() and label[rows].max() == label[cols].min():
                 continue
             i, j = _near(fps[rows], fps[cols], WIDE_FEW if min(sizes[rows[0]], sizes[cols[0]]) < FEW else WIDE)
             i, j = rows[i], cols[j]
+            new = label[i] != label[j]
+            i, j = i[new], j[new]
             less, more = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-            new = (groups[i] != groups[j]) & (den * less >= num * more)
-            new &= (less < FEW) | (distances(fps[i], fps[j]) <= WIDE)
-            if not two and a == b:
-                new &= i < j
-            yield i[new], j[new]
-
-
-def wide_pairs(nodes: DataFrame, tile: int = TILE) -> DataFrame:
-    """(src, dst) of nodes (node, fp, keys, size, group): all pairs of a block that `cross_pairs` finds."""
+            fit = den * less >= num * more
+            i, j, less = i[fit], j[fit], less[fit]
+            fit = (less < FEW) | (distances(fps[i], fps[j]) <= WIDE)
+            i, j = i[fit], j[fit]
+            first = np.argsort(order[i] ^ order[j], kind="stable")
+            merged = False
+            for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                if forest.join(int(group[x]), int(group[y])):
+                    out.append((x, y))
+                    merged = True
+            if merged:
+                label = np.array([forest.find(g) for g in range(len(forest.parent))])[group]
+    return out
+
+
+def wide_pairs(nodes: DataFrame, turn: int = 0, tile: int = TILE) -> DataFrame:
+    """(src, dst) of nodes (node, fp, keys, size, group): the pairs of a block that `cross_pairs` finds, in an order of this turn's own."""
+    salt = np.uint64((turn + 1) * _GOLDEN & (2**64 - 1))
     keyed = nodes.select("node", "group", F.explode(F.array_distinct("keys")).alias("k"))
     mixed = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("k", "n")
     mixed = checkpointed(mixed)
@@ -232,9 +248,10 @@ def wide_pairs(nodes: DataFrame, tile: int = TILE) -> DataFrame:
                 part = slice(start, end)
                 if group[part].min() == group[part].max():
                     continue
-                for a, b in cross_pairs(fps[part], side[part], size[part], group[part]):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(node[a + start]), pa.array(node[b + start])], names=["src", "dst"])
+                order = _mix(node[part].view(np.uint64) * salt)
+                pairs = np.array(cross_pairs(fps[part], side[part], size[part], group[part], order), dtype=np.int64).reshape(-1, 2) + start
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["src", "dst"])
 
     return dealt(rows, "k", "node", tile, mixed).mapInArrow(run, "src long, dst long")
 
@@ -279,10 +296,13 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     tied = named.join(several, key).select(key, "same").distinct().join(nodes.select("same", "node"), "same").select(F.col(key).alias("src"), F.col("node").alias("dst"))
     links = verified(near_links(nodes, radius), texts).union(tied)
     found = connected_components(links)
-    grouped = nodes.join(found, "node", "left").select("node", "fp", "keys", "size", F.coalesce("component", "node").alias("group"))
-    more = verified(wide_pairs(grouped), texts)
-    if not more.isEmpty():
-        found = connected_components(links.union(more))
+    for turn in itertools.count():  # each round but the last leaves fewer components
+        grouped = nodes.join(found, "node", "left").select("node", "fp", "keys", "size", F.coalesce("component", "node").alias("group"))
+        more = verified(wide_pairs(grouped, turn), texts)
+        if more.isEmpty():
+            break
+        links = checkpointed(links.union(more))
+        found = connected_components(links)
     placed = nodes.select("same", "node").join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     joined = marked.select(key, "same").join(placed, "same", "left")
     return joined.select(key, F.when(F.col(key).isNotNull(), F.col("component")).alias("component"))
