@@ -27,8 +27,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go from the texts, and with them the documents of which nothing is left; n_chars follows the text."""
-    cleaned = line_dedup.dedup_lines(docs, counts=True)
-    cleaned = cleaned.where("n_removed = 0 OR trim(BOTH '\n' FROM text) <> ''").drop("n_removed")
+    cleaned = line_dedup.dedup_lines(docs, emptied=False)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
