@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fixlake.functions.graph import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,3 +67,27 @@ _TYPES = {
 
 def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(n, _TYPES[t]) for n, t in (f.strip().split(" ") for f in schema.split(","))])
+
+
+class Saved:
+    """Tables of one run in the shared folder: `saved(name, df)` writes df and reads it again, which cuts its lineage. At the end of the block all go but
+    those written by `last`, which the result still reads."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.names = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", []
+
+    def __enter__(self) -> Saved:
+        return self
+
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        self.names.append(name)
+        return self.last(name, df)
+
+    def last(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def __exit__(self, *_: object) -> None:
+        for name in self.names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,6 +13,7 @@ from fixlake.llm.decontaminate import find_contaminated
 from fixlake.llm.embedding_dedup import embedding_dedup
 from fixlake.llm.secrets import scan_secrets
 from fixlake.llm.simhash import simhash_dedup
+from fixlake.llm.substring_dedup import removed_bytes
 from fixlake.llm.token_counts import token_counts
 
 
@@ -58,6 +59,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs))
 
 
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_bytes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_counts": op2_token_counts,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
+    "op11_suffix_array": op11_suffix_array,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op6_warc": warc.SQL}
