@@ -13,7 +13,9 @@ from fixlake.llm.decontaminate import find_contaminated
 from fixlake.llm.embedding_dedup import embedding_dedup
 from fixlake.llm.secrets import scan_secrets
 from fixlake.llm.simhash import simhash_dedup
+from fixlake.llm.spelling import spelling_variants
 from fixlake.llm.substring_dedup import removed_bytes
+from fixlake.llm.whitening import whiten
 from fixlake.llm.token_counts import token_counts
 
 
@@ -63,6 +65,14 @@ def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_bytes(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_token_counts": op2_token_counts,
@@ -75,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
     "op11_suffix_array": op11_suffix_array,
+    "op12_whitening": op12_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op6_warc": warc.SQL}
