@@ -14,7 +14,8 @@ from fixlake.functions.tokens import checksum, declared_checksum, fields, read,
 from fixlake.functions.values import number, quantity, sending_ns, u32
 from fixlake.operators import consolidate, histogram, orders, sessions, stats, views
 from fixlake.plans.dsl import to_column
-from fixlake.sources import synth
+from fixlake.sources import stored, synth
+from fixlake.sources.frames import file_sizes
 from fixlake.sources.log import Log, read_log, read_records, scan_lines
 
 HOUR = 3_600_000_000_000
@@ -546,6 +547,46 @@ def saved_postings(spark, sf_dir):
     return views.by_postings(messages, looked_up, f"35=8 AND 37=X{_first_replaced(spark, sf_dir)}").select("ordinal")
 
 
+def _grown(spark: SparkSession, path: str, parts: str, share: float) -> None:
+    """The first bytes of a folder's files, put together in one file: what a log held at an earlier time, up to anywhere in a message."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    names = [name for name, _ in file_sizes(spark, [parts])]
+    left = int(sum(n for _, n in file_sizes(spark, [parts])) * share)
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(path), True)
+    for name, size in zip(names, [n for _, n in file_sizes(spark, names)], strict=True):
+        source = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+        jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, min(size, max(0, left)))
+        source.close()
+        left -= size
+    out.close()
+
+
+def _stored_twice(spark: SparkSession, sf_dir: str) -> str:
+    """A log that was stored when it had two thirds of its bytes, and brought up to date when it had all."""
+    parts, folder = _written(spark, _orders(spark, sf_dir)), f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    _grown(spark, f"{folder}.log", parts, 2 / 3)
+    stored.append(spark, folder, f"{folder}.log")
+    _grown(spark, f"{folder}.log", parts, 1)
+    stored.append(spark, folder)
+    return folder
+
+
+@query(ORDERS + "SELECT row_number() OVER (ORDER BY pos) - 1 AS ordinal, t35, t11, t17, t52 FROM m")
+def stored_append(spark, sf_dir):
+    messages = stored.read_stored(spark, _stored_twice(spark, sf_dir)).messages
+    return messages.select("ordinal", *[read(messages, n).alias(f"t{n}") for n in (35, 11, 17, 52)])
+
+
+@query(ORDERS + """, n AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS ordinal FROM m), r AS (SELECT min(k) AS k FROM m WHERE t35 = 'G')
+SELECT ordinal, t11, t17 FROM n WHERE t35 = '8' AND t49 = 'GW' AND t37 = 'X' || (SELECT k FROM r) AND t11 IS NOT NULL""")
+def stored_lookup(spark, sf_dir):
+    """Three equalities and another condition, by the index of a stored log."""
+    user = f"35=8 AND 11~. AND 49=GW AND 37=X{_first_replaced(spark, sf_dir)}"
+    found = stored.find(spark, _stored_twice(spark, sf_dir), user).messages
+    return found.select("ordinal", read(found, 11).alias("t11"), read(found, 17).alias("t17"))
+
+
 _DAMAGE = """CASE WHEN event_id % 7 = 0 THEN 'InvalidBodyLength' WHEN event_id % 11 = 0 THEN 'InvalidTag' WHEN event_id % 13 = 0 THEN 'lost' ELSE 'good' END"""
 
 

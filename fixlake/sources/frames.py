@@ -303,15 +303,25 @@ def ranges(spark: SparkSession, paths: list[str], size: int = RANGE, bases: Data
             rows.append((i, path, 0, None))
         else:
             rows += [(i, path, a, a + size if a + size < length else None) for a in range(0, max(1, length), size)]
-    every = spark.createDataFrame(rows, "source_idx int, source string, start long, stop long")
+    every = spread(spark, rows)
     if bases is not None:
-        every = every.join(bases, ["source_idx", "start"]).select("source_idx", "source", "start", "stop", "base")
-    return every.repartitionByRange(len(rows), "source_idx", "start")
+        every = every.join(bases, ["source_idx", "start"]).select("source_idx", "source", "start", "stop", "base").repartitionByRange(len(rows), "source_idx", "start")
+    return every
+
+
+def spread(spark: SparkSession, spans: list[tuple[int, str, int, int | None]]) -> DataFrame:
+    """Spans (source_idx, source, start, stop) of files, a task each."""
+    return spark.createDataFrame(spans, "source_idx int, source string, start long, stop long").repartitionByRange(max(1, len(spans)), "source_idx", "start")
 
 
 def scan(spark: SparkSession, paths: list[str], separator: str, size: int = RANGE, bases: DataFrame | None = None, tags: tuple[int, ...] = ()) -> DataFrame:
     """All frames of the files: (source_idx, source, range_start, seq, offset, raw, code); seq counts the valid messages of a range, from its base or 0. With `tags`, also
     t<tag> (binary), the first occurrence, and repeats, further ones; then damaged messages have a row too."""
+    return framed(ranges(spark, paths, size, bases), separator, tags)
+
+
+def framed(spans: DataFrame, separator: str, tags: tuple[int, ...] = ()) -> DataFrame:
+    """As `scan`, of spans (source_idx, source, start, stop) of files."""
     schema = FRAMES + "".join(f", t{t} binary" for t in tags) + (", repeats array<struct<tag:bigint,value:binary>>" if tags else "")
     names = [c.split(" ")[0] for c in FRAMES.split(", ")] + [f"t{t}" for t in tags] + (["repeats"] if tags else [])
 
@@ -336,7 +346,7 @@ def scan(spark: SparkSession, paths: list[str], separator: str, size: int = RANG
         columns = [*same, pa.array(seq, pa.int64()), pa.array(offset, pa.int64()), raw, pa.array(code, pa.string()), *more]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return ranges(spark, paths, size, bases).mapInArrow(run, schema)
+    return spans.mapInArrow(run, schema)
 
 
 def native_frames(df: DataFrame, record: str = "record", separator: Column | str = "\x01") -> DataFrame:

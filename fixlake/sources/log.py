@@ -13,7 +13,7 @@ import sys
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,13 +102,16 @@ def read_log(spark: SparkSession, paths: str | list[str], fmt: LogFormat | None
 
     messages = scan(spark, paths, fmt.separator, size, bases=bases).where("code IS NULL").select(*columns(None))
     errors = scan(spark, paths, fmt.separator, size).where("code IS NOT NULL").select("source_idx", "source", "offset", "code")
-    stored = [F.col(f"t{t}").cast("string").alias(f"t{t}") for t in PROMOTED] + [
-        F.transform("repeats", lambda x: F.struct(x["tag"].alias("tag"), x["value"].cast("string").alias("value"))).alias("repeats"), F.col("repeats").isNotNull().alias("repeated"),
-    ]
-    frames = scan(spark, paths, fmt.separator, size, bases=bases, tags=PROMOTED).select(*columns("code"), *stored)
+    frames = scan(spark, paths, fmt.separator, size, bases=bases, tags=PROMOTED).select(*columns("code"), *promoted())
     return Log(messages, errors, fmt, frames)
 
 
+def promoted() -> list[Column]:
+    """The columns of a saved log that hold tags, from those that framing gives."""
+    pairs = F.transform("repeats", lambda x: F.struct(x["tag"].alias("tag"), x["value"].cast("string").alias("value")))
+    return [F.col(f"t{t}").cast("string").alias(f"t{t}") for t in PROMOTED] + [pairs.alias("repeats"), F.col("repeats").isNotNull().alias("repeated")]
+
+
 def read_records(df: DataFrame, record: str, order: str, separator: str = "\x01") -> Log:
     """Messages from rows that hold one each; `order` is a unique number that gives their order and becomes the ordinal."""
     framed = native_frames(df, record, separator)
