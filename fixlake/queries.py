@@ -12,7 +12,7 @@ from fixlake.functions import dictionary, render, reports, summary
 from fixlake.functions.graph import shared_folder
 from fixlake.functions.tokens import checksum, declared_checksum, fields, read, tag
 from fixlake.functions.values import number, quantity, sending_ns, u32
-from fixlake.operators import consolidate, histogram, orders, sessions, stats, views
+from fixlake.operators import consolidate, histogram, incremental, orders, sessions, stats, views
 from fixlake.plans.dsl import to_column
 from fixlake.sources import stored, synth
 from fixlake.sources.frames import file_sizes
@@ -587,6 +587,34 @@ def stored_lookup(spark, sf_dir):
     return found.select("ordinal", read(found, 11).alias("t11"), read(found, 17).alias("t17"))
 
 
+def _amounts(found: DataFrame) -> DataFrame:
+    return found.select("root_clordid", F.col("cum_qty").cast("long").alias("cum_qty"), F.round("notional", 2).alias("notional"), F.col("fills").cast("long").alias("fills"), "final_ord_status")
+
+
+@query(ORDERS + _FILLS + _CONSOLIDATED)
+def incremental_consolidated(spark, sf_dir):
+    """Orders kept up to date by three batches, which cut through the messages of orders, merged once between."""
+    messages = order_log(spark, sf_dir).messages
+    state = incremental.Consolidation(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}")
+    ends = _table(spark, sf_dir, "orders").agg(F.percentile("o_orderkey", F.array(F.lit(0.3), F.lit(0.7))).alias("p")).first()["p"]
+    a, b = (int(p) * 1024 + 2 for p in ends)
+    state.add(messages.where(F.col("ordinal") < a), 0)
+    state.add(messages.where((F.col("ordinal") >= a) & (F.col("ordinal") < b)), 1)
+    state.compact()
+    state.add(messages.where(F.col("ordinal") >= b), 2)
+    return _amounts(state.orders())
+
+
+@query(ORDERS + _FILLS + _CONSOLIDATED)
+def followed_consolidated(spark, sf_dir):
+    """Orders of a log that is followed while it grows: what is there is taken, then what has come."""
+    parts, folder = _written(spark, _orders(spark, sf_dir)), f"{shared_folder(spark)}/followed-{uuid.uuid4().hex}"
+    for share in (0.6, 1):
+        _grown(spark, f"{folder}.log", parts, share)
+        incremental.follow_orders(spark, f"{folder}.log", f"{folder}/orders", f"{folder}/stream").trigger(availableNow=True).start().awaitTermination()
+    return _amounts(incremental.Consolidation(spark, f"{folder}/orders").orders())
+
+
 _DAMAGE = """CASE WHEN event_id % 7 = 0 THEN 'InvalidBodyLength' WHEN event_id % 11 = 0 THEN 'InvalidTag' WHEN event_id % 13 = 0 THEN 'lost' ELSE 'good' END"""
 
 
