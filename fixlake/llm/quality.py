@@ -46,9 +46,10 @@ def _blocks(text: str | None) -> Iterator[memoryview]:
 
 
 def window(text: Column, key: Column, size: int, salt: int) -> Column:
-    """The window of `size` characters of a text that a hash of the key chooses among all of them; a shorter text is its own window."""
+    """The window of `size` characters of a text that a hash of the key chooses among all of them, of which the last ends where the text ends; a shorter text is its own window."""
     windows = F.greatest(F.ceil(F.length(text) / size), F.lit(1))
-    return F.substring(text, (F.pmod(F.xxhash64(F.lit(salt), key), windows) * size + 1).cast("int"), F.lit(size))
+    begin = F.least(F.pmod(F.xxhash64(F.lit(salt), key), windows) * size, F.greatest(F.length(text) - size, F.lit(0)))
+    return F.substring(text, (begin + 1).cast("int"), F.lit(size))
 
 
 def build_dictionary(texts: list[str], size: int) -> bytes:

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyarrow import fs as pafs
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fixlake.llm import decontaminate, language_id, quality, warc
@@ -181,6 +182,16 @@ def test_windows_cover_whole_texts(spark):
     assert {got[i] for i in range(200)} == {chr(97 + i) * 10 for i in range(10)} and [got[i] for i in (900, 901, 902)] == ["ab", "", None]
 
 
+def test_no_window_is_short(spark):
+    """Also where the size doesn't divide the length, every window has the whole size, and all windows together have the whole text."""
+    text = "".join(chr(97 + i % 26) for i in range(20_001))
+    df = spark.range(200).withColumn("text", F.lit(text))
+    found = {r[0] for r in df.select(quality.window(F.col("text"), F.col("id"), 10_000, 3)).collect()}
+    assert {len(w) for w in found} == {10_000} and len(found) == 3
+    assert any(text.endswith(w) for w in found) and any(text.startswith(w) for w in found)
+
+
+
 WORDS = {"aa": ["lorem", "ipsum", "dolor", "amet"], "bb": ["zwei", "schnell", "strasse", "zug"], "cc": ["été", "français", "où", "garçon"]}
 
 
