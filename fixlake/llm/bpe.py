@@ -31,6 +31,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 ASCII_PATTERN = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: Pre-tokens whose ids a task remembers; a full memory is emptied, which costs time only.
 MEMORY = 400_000
+#: Bytes of the longest pre-token that is remembered.
+SHORT = 64
 #: Pre-tokens taken from a text at a time, so that a very long text needs no list of all of them.
 CHUNK = 65_536
 #: Bits of a place in a pre-token, below the rank in the heap's entries.
@@ -143,15 +145,16 @@ class BytePairs:
             i += size[i]
         return out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Remember the ids of these pre-tokens, as little-endian unsigned 32-bit integers."""
+    def learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Remember the ids of these pre-tokens, as little-endian unsigned 32-bit integers; those of more than SHORT bytes are given back instead."""
         if len(self.known) > MEMORY:
             self.known.clear()
-        pieces = list(pieces)
+        pieces, long = list(pieces), {}
         raw = [p.encode() for p in pieces]
         for piece, key, slot in zip(pieces, raw, self.hash.slots(raw).tolist() if raw else (), strict=True):
             ids = [self.slot_id[slot]] if self.slot_key[slot] == key else self.merged(key)
-            self.known[piece] = b"".join(i.to_bytes(4, "little") for i in ids)
+            (self.known if len(key) <= SHORT else long)[piece] = b"".join(i.to_bytes(4, "little") for i in ids)
+        return long
 
     def encode_chunks(self, text: str) -> Iterable[bytes]:
         """The ids of a text, in pieces of little-endian unsigned 32-bit integers."""
@@ -169,13 +172,12 @@ class BytePairs:
                         break
                 else:
                     at = len(text)
-            if new := {p for p in pieces if p not in known}:
-                self.learn(new)
-            yield b"".join([known[p] if p in known else self._again(p) for p in pieces])
+            new = {p for p in pieces if p not in known}
+            long = self.learn(new) if new else {}
+            yield b"".join([known[p] if p in known else long[p] if p in long else self._again(p) for p in pieces])
 
     def _again(self, piece: str) -> bytes:
-        self.learn([piece])
-        return self.known[piece]
+        return self.learn([piece]).get(piece) or self.known[piece]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(b"".join(self.encode_chunks(text)), dtype="<u4").tolist()

@@ -90,10 +90,10 @@ class UnigramTrie:
         pieces, tokens = 0, 0
         pattern = ASCII_PATTERN if self.source == public_tokenizers.PATTERN and (text or "").isascii() else self.pattern
         for part in parts(pattern, text or ""):
-            if len(self.best) > self.nodes:
-                self.clear()
             counts, long = self.counts, {}
             for piece in sorted({p for p in part if p not in counts}):
+                if len(self.best) > self.nodes:
+                    self.clear()  # this part's counts stay in `counts`
                 (counts if len(piece) <= DEPTH else long)[piece] = self.insert(piece.encode())
             pieces += len(part)
             tokens += sum(counts[p] if p in counts else long[p] for p in part) if long else sum(map(counts.__getitem__, part))

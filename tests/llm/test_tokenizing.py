@@ -192,3 +192,31 @@ def test_random_parts_of_runs_are_found():
             assert scanner.random_spans(run, []) == [(0, 3, "random", len(run))], run
     for run in (uuid, f"user/{uuid}/settings", "configuration/production/service", "internationalization", draw(dig, 30), "-" * 40, hashlib.sha1(b"x").hexdigest().upper()):
         assert scanner.random_spans(run, []) == [], run
+
+
+def test_trie_is_bounded_within_a_part():
+    trie = token_counts.UnigramTrie(COSTS, nodes=20_000)
+    rng, most = random.Random(4), 0
+    whole = trie.insert
+
+    def watched(piece):
+        nonlocal most
+        found = whole(piece)
+        most = max(most, len(trie.best))
+        return found
+
+    trie.insert = watched
+    words = ["".join(rng.choices("abcdefghij", k=100)) for _ in range(2000)]
+    counted = trie.count(" ".join(words))
+    other = token_counts.UnigramTrie(COSTS)
+    assert most <= 20_000 + 129 and counted == other.count(" ".join(words))
+
+
+def test_long_pretokens_are_not_remembered():
+    coder = bpe.BytePairs(CODER.ranks)
+    rng = random.Random(5)
+    for _ in range(5):
+        word = "".join(rng.choices("abcdefghij", k=20_000))
+        text = f"{word} short {word} {word}x"
+        assert coder.decode(coder.encode(text)) == text.encode()
+    assert max(len(p.encode()) for p in coder.known) <= 64 and len(coder.known) < 10
