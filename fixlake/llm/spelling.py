@@ -38,8 +38,9 @@ RATIO = 10
 #: One run in so many loses a code point.
 DELETED = 31
 PARTS = 5
-#: Words of a block.
+#: Words of a block, and of one that is compared together with others.
 TILE = 4096
+SMALL = 24
 #: Bytes of a text that are split at once, and entries of a task's counts.
 PIECE = 1 << 22
 ENTRIES = 400_000
@@ -238,6 +239,52 @@ def near_in(points: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarra
     return a[own], b[own]
 
 
+def bigrams(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A bit for each two letters in a row of each word. An edit takes two such pairs away at most and adds two, so near words differ in four bits or fewer."""
+    if not len(points):
+        return np.zeros(len(lengths), dtype=np.uint64)
+    pair = points.astype(np.uint64)
+    pair[:-1] = pair[:-1] * np.uint64(0x9E3779B97F4A7C15) + pair[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    bits = np.left_shift(np.uint64(1), pair >> np.uint64(58))
+    ends = np.cumsum(lengths)
+    bits[ends - 1] = 0  # a word's last letter has none behind it
+    return np.bitwise_or.reduceat(bits, ends - lengths)
+
+
+def _candidates(marks: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b), a first, of rows of one block whose bigrams allow that they are near. ends: for each row where its block ends. Small blocks are taken all at once, a distance after the
+    other; a larger one by itself, some of its rows against all behind them."""
+    rows = np.arange(len(marks))
+    first = np.flatnonzero(np.append(True, ends[1:] != ends[:-1]))
+    sizes = ends[first] - first
+    small = rows[np.repeat(sizes <= SMALL, sizes)]
+    for off in range(1, SMALL):
+        small = small[small + off < ends[small]]
+        if not len(small):
+            break
+        a = small[np.bitwise_count(marks[small] ^ marks[small + off]) <= 4]
+        yield a, a + off
+    for start, size in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        own = marks[start : start + size]
+        for at in range(0, size, 256):
+            i, j = np.nonzero(np.bitwise_count(own[at : at + 256, None] ^ own[None, at:]) <= 4)
+            later = j > i
+            yield i[later] + start + at, j[later] + start + at
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in fewer arrays."""
+    held, n = [], 0
+    for a, b in pairs:
+        held.append((a, b))
+        n += len(a)
+        if n > most:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _pairs(signed: DataFrame, parts: int, side: int, tile: int, tiled: bool) -> DataFrame:
     """(word, near, n) of near words, n the near one's, both ways. tiled: whether some signature has more than `tile` words."""
 
@@ -251,14 +298,12 @@ def _pairs(signed: DataFrame, parts: int, side: int, tile: int, tiled: bool) ->
             q = table.column("q").to_numpy()
             half = table.column("_side").to_numpy() if tiled else None
             points, lengths = _code_points(listed := table.column("word").to_pylist())
-            rows, off, found = np.arange(len(q)), 1, []
-            while len(rows := rows[rows + off < ends[rows]]):
-                for at in range(0, len(rows), 1 << 18):
-                    a = rows[at : at + (1 << 18)]
-                    if half is not None:
-                        a = a[(cols[1][a] == cols[2][a]) | (half[a] != half[a + off])]
-                    found.append(near_in(points, lengths, a, a + off, q[a], parts, side))
-                off += 1
+            found = []
+            for a, b in _gathered(_candidates(bigrams(points, lengths), ends)):
+                if half is not None:
+                    keep = (cols[1][a] == cols[2][a]) | (half[a] != half[b])
+                    a, b = a[keep], b[keep]
+                found.append(near_in(points, lengths, a, b, q[a], parts, side))
             a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
             if len(a):
                 n = table.column("n").to_numpy()
