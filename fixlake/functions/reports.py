@@ -1,27 +1,30 @@
 """Sessions, timelines and consolidated orders as text: tables to read, CSV and JSON.
 
-Each report is a DataFrame of one line a row, (line, text), to be ordered by line; lines are made by Column expressions and numbered by the order of the report. Amounts in CSV and JSON are rounded as decimals, halves away from zero.
+Each report is a DataFrame of one line a row, (line, text), to be ordered by line; lines are made by Column expressions and numbered by the order of the report. Heads, widths and keys are fixed values of the formats. Amounts in CSV and JSON are rounded as decimals, halves away from zero.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fixlake.functions.dictionary import Dictionary
 from fixlake.functions.render import csv_escape, json_text, resolved
 from fixlake.functions.summary import family_display, format_int, format_money, format_price, raw_display, side_label, status_label, truncate, without_common
 from fixlake.operators import consolidate, orders, sessions
+from fixlake.operators.views import placed
 
 #: Columns of a timeline's bar.
 BAR = 60
 
 
-def _lines(rows: DataFrame, order: list[Column], text: Column, head: list[str] = [], last: list[str] = []) -> DataFrame:  # noqa: B006
-    """Rows as lines, behind the head's and before the last ones; reports have a row for a session or an order, which are ranked as a table that is read is."""
-    spark = rows.sparkSession
-    body = rows.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("line"), text.alias("text"))
+def _lines(rows: DataFrame, order: list[Column], text: Column, head: list[str] = [], last: list[str] = [], between: str = "") -> DataFrame:  # noqa: B006
+    """Rows as lines, behind the head's and before the last ones, each but the last with what stands between two. Places come from ranges of the order, so that no task has all lines."""
+    spark, ranked = rows.sparkSession, placed(rows, order)
+    if between:
+        ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.max("rank").alias("__end"))))  # one row
+        text = F.concat(text, F.when(F.col("rank") < F.col("__end"), between).otherwise(""))
+    body = ranked.select((F.col("rank") + 1).cast("long").alias("line"), text.alias("text"))
     framed = [(i - len(head), t) for i, t in enumerate(head)] + [((1 << 62) + i, t) for i, t in enumerate(last)]
     return body.unionByName(spark.createDataFrame(framed, "line long, text string")) if framed else body
 
@@ -140,8 +143,7 @@ def consolidated_json(found: DataFrame, by: str = "notional") -> DataFrame:
         F.lit(',"cum_qty":'), _whole(F.col("cum_qty")), F.lit(',"notional":'), _amounts()[0], F.lit(',"avg_px":'), _amounts()[1], F.format_string(',"fills":%d', "fills"),
         part("final_ord_status", json_text(status_label(F.col("final_ord_status")))), F.lit("}"),
     )
-    more = F.lead(F.lit(",")).over(Window.orderBy(*consolidate.sort_key(by)))
-    return _lines(found.withColumn("_more", F.coalesce(more, F.lit(""))), consolidate.sort_key(by), F.concat(text, "_more"), ["["], ["]"])
+    return _lines(found, consolidate.sort_key(by), text, ["["], ["]"], ",")
 
 
 def detail_table(messages: DataFrame, d: Dictionary | None = None, hide_common: bool = False) -> DataFrame:

@@ -11,6 +11,8 @@ from fixlake.functions.values import sending_ns
 
 #: Bins that are filled in; a finer histogram stays sparse only.
 MOST_BINS = 10_000_000
+#: Bins of a run that is unfolded at once.
+RUN = 4096
 # Eighths of a column
 LEVELS = " ▁▂▃▄▅▆▇█"
 
@@ -35,9 +37,18 @@ def histogram(messages: DataFrame, bucket_ns: int) -> DataFrame:
     ends = bins.agg(F.min("start_ns").alias("a"), F.max("start_ns").alias("b")).first()  # two numbers
     if ends["a"] is not None and (ends["b"] - ends["a"]) // bucket >= MOST_BINS:
         raise ValueError(f"more than {MOST_BINS} bins; take a larger bucket")
-    spark = messages.sparkSession
-    every = spark.range(0 if ends["a"] is None else ends["a"], 0 if ends["a"] is None else ends["b"] + 1, bucket).withColumnRenamed("id", "start_ns")
-    return every.join(bins, "start_ns", "left").select("start_ns", (F.col("start_ns") + bucket).alias("end_ns"), F.coalesce("count", F.lit(0)).alias("count"))
+    first = ends["a"] or 0
+    n = 0 if ends["a"] is None else (ends["b"] - first) // bucket + 1
+    # runs of RUN bins: those that have messages are gathered, the gaps between them filled in where a run is unfolded, so that empty bins never move
+    at = F.expr(f"(start_ns - {first}L) div {bucket}L")
+    runs = bins.select(F.expr(f"(start_ns - {first}L) div {bucket}L div {RUN}L").alias("run"), (at % RUN).cast("int").alias("at"), "count").groupBy("run").agg(F.array_sort(F.collect_list(F.struct("at", "count"))).alias("bins"))
+    every = messages.sparkSession.range(-(-n // RUN)).withColumnRenamed("id", "run").join(runs, "run", "left")
+    every = every.withColumn("size", F.least(F.lit(RUN), F.lit(n) - F.col("run") * RUN).cast("int"))
+    every = every.withColumn("marks", F.expr("concat(array(named_struct('at', -1, 'count', 0L)), coalesce(bins, array()))"))
+    counts = F.expr("flatten(transform(marks, (x, i) -> concat(IF(x.at >= 0, array(x.count), array()), array_repeat(0L, coalesce(get(marks, i + 1).at, size) - x.at - 1))))")
+    dense = every.select("run", F.posexplode(counts).alias("i", "count"))
+    start = F.lit(first) + (F.col("run") * RUN + F.col("i")) * bucket
+    return dense.select(start.alias("start_ns"), (start + bucket).alias("end_ns"), "count")
 
 
 def peaks(bins: DataFrame, k: int) -> DataFrame:
@@ -58,10 +69,10 @@ def sparkline(bins: DataFrame, width: int) -> str:
     if not n:
         return ""
     spans = [(i * n // width, min(n, max((i + 1) * n // width, i * n // width + 1))) for i in range(width)]
-    cells = bins.sparkSession.createDataFrame([(c, b) for c, (lo, hi) in enumerate(spans) for b in _edges(lo, hi)], "cell int, edge struct<lo:long,hi:long>")
+    cells = bins.sparkSession.createDataFrame([(c, lo, hi) for c, (lo, hi) in enumerate(spans)], "cell int, lo long, hi long")
     index = ((F.col("start_ns") - numbered["a"]) / numbered["w"]).cast("long")
     if n <= width * 4:  # few bins: a bin may fall into several columns
-        merged = bins.withColumn("i", index).join(cells, (F.col("i") >= F.col("edge.lo")) & (F.col("i") < F.col("edge.hi"))).groupBy("cell").agg(F.sum("count").alias("c"))
+        merged = bins.withColumn("i", index).join(cells, (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi"))).groupBy("cell").agg(F.sum("count").alias("c"))
     else:  # each bin is in one column
         cell = F.floor(((index + 1) * width - 1) / n).cast("int")
         merged = bins.groupBy(cell.alias("cell")).agg(F.sum("count").alias("c"))
@@ -69,7 +80,3 @@ def sparkline(bins: DataFrame, width: int) -> str:
     counts = [found.get(i, 0) for i in range(width)]
     scale = sorted(counts)[max(0, len(counts) * 95 - 1) // 100] or 1
     return "".join(LEVELS[min(8, c * 8 // scale)] for c in counts)
-
-
-def _edges(lo: int, hi: int) -> list[tuple[int, int]]:
-    return [(lo, hi)]

@@ -674,3 +674,33 @@ SELECT row_number() OVER (ORDER BY sender, target) AS line, rpad(sender || ' ↔
   || lpad(a || '..' || b, 17, ' ') || lpad(coalesce(gaps, 0)::VARCHAR, 7, ' ') AS text FROM s JOIN t USING (sender, target) LEFT JOIN g USING (sender, target)""")
 def report_sessions(spark, sf_dir):
     return reports.sessions_pretty(session_log(spark, sf_dir).messages).where("line > 0")
+
+
+@query(ORDERS + """SELECT row_number() OVER (ORDER BY n DESC, t11) AS line, rpad(t11, 40, ' ') || ' ' || lpad(n::VARCHAR, 8, ' ') AS text FROM (SELECT t11, count(*) AS n FROM m WHERE t11 IS NOT NULL GROUP BY t11)""")
+def report_order_counts(spark, sf_dir):
+    return reports.order_counts_pretty(stats.order_counts(order_log(spark, sf_dir).messages, None)).where("line > 0")
+
+
+@query(ORDERS + """SELECT row_number() OVER (ORDER BY n DESC, t11) AS line, '{"clordid":"' || t11 || '","events":' || n || '}' AS text FROM (SELECT t11, count(*) AS n FROM m WHERE t11 IS NOT NULL GROUP BY t11)""")
+def report_order_counts_json(spark, sf_dir):
+    return reports.order_counts_json(stats.order_counts(order_log(spark, sf_dir).messages, None))
+
+
+@query(ORDERS + _FILLS + """, c AS (SELECT root, family, side, symbol, order_qty, cum_qty, coalesce(notional, 0) AS notional, coalesce(fills, 0) AS fills, status,
+  CASE WHEN cum_qty > 0 THEN (round(coalesce(notional, 0) * 100)::HUGEINT * 200 + cum_qty::HUGEINT) // (2 * cum_qty::HUGEINT) ELSE 0 END AS u FROM a LEFT JOIN s USING (k))
+SELECT line, text || CASE WHEN line < max(line) OVER () THEN ',' ELSE '' END AS text FROM (SELECT row_number() OVER (ORDER BY cum_qty DESC, root) AS line, '{"root_clordid":"' || root || '","family":["' || replace(family, '→', '","') || '"]'
+  || ',"symbol":"' || symbol || '","side":"' || CASE side WHEN '1' THEN 'BUY' ELSE 'SELL' END || '","order_qty":' || order_qty::BIGINT || ',"cum_qty":' || cum_qty::BIGINT || ',"notional":' || notional::DECIMAL(28,4)::VARCHAR
+  || ',"avg_px":' || (u // 10000)::VARCHAR || '.' || lpad((u % 10000)::VARCHAR, 4, '0') || ',"fills":' || fills::BIGINT
+  || CASE WHEN status IS NULL THEN '' ELSE ',"final_ord_status":"' || CASE status WHEN '2' THEN 'FILLED' ELSE 'PARTIALLY_FILLED' END || '"' END || '}' AS text FROM c)""")
+def report_consolidated_json(spark, sf_dir):
+    return reports.consolidated_json(consolidate.consolidated(order_log(spark, sf_dir).messages), "cum_qty").where("line > 0 AND line < 4611686018427387904")
+
+
+@query(_events_sql() + """, c AS (SELECT sender, target, t35, count(*) AS n FROM m GROUP BY ALL), t AS (SELECT sender, target, string_agg('"' || t35 || '":' || n, ',' ORDER BY t35) AS kinds FROM c GROUP BY ALL),
+x AS (SELECT sender, target, direction, seq, pos, lead(seq) OVER w AS nxt, lead(pos) OVER w AS behind FROM m WINDOW w AS (PARTITION BY sender, target, direction ORDER BY seq, pos)),
+g AS (SELECT sender, target, string_agg('{"from_seq":' || seq || ',"to_seq":' || nxt || ',"ordinal_before":' || pos || ',"ordinal_after":' || behind || '}', ',' ORDER BY direction, seq) AS gaps FROM x WHERE nxt > seq + 1 GROUP BY ALL),
+s AS (SELECT sender, target, count(*) FILTER (direction = 'in') AS i, count(*) FILTER (direction = 'out') AS o, min(seq) AS a, max(seq) AS b FROM m GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY sender, target) AS line, '{"sender":"' || sender || '","target":"' || target || '","in_count":' || i || ',"out_count":' || o || ',"by_msg_type":{' || kinds || '},"seq_min":' || a || ',"seq_max":' || b
+  || ',"gaps":[' || coalesce(gaps, '') || ']}' AS text FROM s JOIN t USING (sender, target) LEFT JOIN g USING (sender, target)""")
+def report_sessions_json(spark, sf_dir):
+    return reports.sessions_json(session_log(spark, sf_dir).messages)
