@@ -170,3 +170,18 @@ def test_render(log_of, tmp_path):
     assert render.export(log.messages, "fix", str(tmp_path / "out")) == 1
     with pytest.raises(ValueError, match="nothing"):
         render.export(log.messages.where("false"), "csv", str(tmp_path / "none"))
+
+
+def test_timelines_of_many_orders(log_of, spark, monkeypatch):
+    """As each order's own, also where links lead back or fan out, and for any number of identifiers."""
+    rows = [((35, "D"), (11, "A"), (37, "X")), ((35, "G"), (11, "B"), (41, "A")), ((35, "G"), (11, "A"), (41, "B")), ((35, "G"), (11, "C"), (41, "A"), (41, "Z")), ((35, "8"), (37, "X")), ((35, "8"), (37, "Y")),
+            ((35, "D"), (11, "Z"), (37, "Y")), ((35, "8"), (11, "D"), (41, "C"), (37, "W")), ((35, "8"), (37, "W"), (52, "20240101-10:00:00"))]
+    messages = log_of(*rows).messages
+    names = ["A", "B", "C", "D", "Z", "absent"]
+    found = orders.timelines(messages, spark.createDataFrame([(n,) for n in names] * 2 + [(None,)], "clordid string")).collect()
+    for n in names:
+        want = sorted(map(repr, orders.timeline(messages, n).collect()))
+        assert sorted(repr(type(r)(**{k: v for k, v in r.asDict().items() if k != "clordid"})) for r in found if r.clordid == n) == want, n
+    whole = sorted(map(repr, orders.timeline(messages, "A").collect()))
+    monkeypatch.setattr(orders, "MOST", 1)
+    assert sorted(map(repr, orders.timeline(messages, "A").collect())) == whole and {r.id for r in orders.chain(messages, "A").collect()} == set("ABCD")
