@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +15,7 @@ from fixlake.functions.tokens import checksum, declared_checksum, fields, read,
 from fixlake.functions.values import number, quantity, sending_ns, u32
 from fixlake.operators import consolidate, histogram, incremental, orders, sessions, stats, views
 from fixlake.plans.dsl import to_column
-from fixlake.sources import stored, synth
+from fixlake.sources import datasource, stored, synth
 from fixlake.sources.frames import file_sizes
 from fixlake.sources.log import Log, read_log, read_records, scan_lines
 
@@ -712,3 +713,12 @@ SELECT row_number() OVER (ORDER BY sender, target) AS line, '{"sender":"' || sen
   || ',"gaps":[' || coalesce(gaps, '') || ']}' AS text FROM s JOIN t USING (sender, target) LEFT JOIN g USING (sender, target)""")
 def report_sessions_json(spark, sf_dir):
     return reports.sessions_json(session_log(spark, sf_dir).messages)
+
+
+@query(ORDERS + "SELECT t11, t17, t39, t32 FROM m WHERE t35 = '8' AND t39 = '2' AND t11 IS NOT NULL AND t17 LIKE 'E1%'")
+def source_filtered(spark, sf_dir):
+    """A log on disk as a data source, which filters before it makes rows."""
+    datasource.register(spark)
+    paths = [name for name, _ in file_sizes(spark, [_written(spark, _orders(spark, sf_dir))])]
+    rows = spark.read.format("fix").option("paths", json.dumps(paths)).load()
+    return rows.where("t35 = '8' AND t39 = '2' AND t11 IS NOT NULL AND t17 LIKE 'E1%'").select("t11", "t17", "t39", "t32")
