@@ -5,8 +5,9 @@ have 1,024 bits of the distinct shingles, compared exactly in tiles by exclusive
 whose population counts differ by more than the radius is skipped. Two sets of Jaccard similarity s differ in about
 acos(2 s / (1 + s)) / pi of the bits: 155 of 1,024 at 0.8, with a standard deviation of 11.5. Fingerprints only propose pairs; a pair
 is linked if the Jaccard similarity of its two sets of 64-bit shingle hashes is 0.8 or more. Pairs are proposed in two rounds: first a
-spanning forest of each block's pairs within `RADIUS`, then all pairs of a block within the wide radius (five standard
-deviations above what any sizes of two sets at 0.8 are expected to differ in) that the links so far leave in different components.
+spanning forest of each block's pairs within `RADIUS`, which are verified by their texts, then all pairs of a block within the wide radius (five standard
+deviations above what any sizes of two sets at 0.8 are expected to differ in) that the links so far leave in different components. The rows of such blocks bring their sets along, so these pairs are
+verified where they are proposed: a pair that is not alike makes no row, and one whose components other links of the block have joined is not looked at.
 
 The tiles of the grid are laid over `KEYS` keys, each a hash of three of the set's 16 least permuted hashes. Two sets share a key with
 probability s cubed, so at 0.8 about one pair in a hundred shares none. A passage that is a share f of a text makes a key hot for a share f cubed
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fixlake.functions.graph import checkpointed, connected_components
-from fixlake.llm.blocks import blocks, bounds, dealt, spanning
-from fixlake.llm.common import per_row
+from fixlake.llm.blocks import Forest, blocks, bounds, dealt, spanning
+from fixlake.llm.common import bounded, per_row
 from fixlake.llm.simhash import keep_smallest
 
 SHINGLE = 5
@@ -44,6 +45,8 @@ FEW, WIDE_FEW, WIDE = 5, 256, 226
 SIMILAR = (4, 5)
 KEYS = 8
 TILE = 32768
+#: Rows of a tile that bring their sets of hashes along, and sets that are taken apart at once.
+SET_TILE, HELD = 4096, 1024
 #: Rows of a tile that are compared at once.
 STEP = 512
 #: Rows that are compared with a whole block before its tiles are.
@@ -216,25 +219,62 @@ def cross_pairs(fps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, groups: n
             yield i[new], j[new]
 
 
-def wide_pairs(nodes: DataFrame, tile: int = TILE) -> DataFrame:
-    """(src, dst) of nodes (node, fp, keys, size, group): all pairs of a block that `cross_pairs` finds."""
+def hash_sets(texts: DataFrame) -> DataFrame:
+    """(node, set): the distinct shingle hashes of each text (node, text), in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            sets = [shingle_hashes(t).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, set binary")
+
+
+def block_links(fps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, groups: np.ndarray, sets: list) -> Iterator[tuple[int, int]]:
+    """Row numbers of links between different groups of a block: of the pairs that fingerprints propose, those whose sets are alike enough, unless other links join their groups already."""
+    forest, number = Forest(len(fps)), {}
+    group = [number.setdefault(g, i) for i, g in enumerate(groups.tolist())]
+    own: dict[int, np.ndarray] = {}
+
+    def hashes(row: int) -> np.ndarray:
+        if row not in own:
+            if len(own) >= HELD:
+                own.pop(next(iter(own)))
+            own[row] = np.frombuffer(sets[row].as_buffer(), dtype="<u8")
+        return own[row]
+
+    for left, right in cross_pairs(fps, sides, sizes, groups):
+        for a, b in zip(left.tolist(), right.tolist(), strict=True):
+            if forest.find(group[a]) != forest.find(group[b]) and similar(hashes(a), hashes(b)):
+                forest.join(group[a], group[b])
+                yield a, b
+
+
+def wide_links(nodes: DataFrame, texts: DataFrame, tile: int = SET_TILE) -> DataFrame:
+    """(src, dst) of nodes (node, fp, keys, size, group) with texts (node, text): links that join the groups of each block which any of its pairs joins. Rows of blocks with several groups bring their sets along, so that
+    pairs are verified where they are found and those that are not alike make no rows."""
     keyed = nodes.select("node", "group", F.explode(F.array_distinct("keys")).alias("k"))
     mixed = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("a"), F.max("group").alias("b")).where("a < b").select("k", "n")
     mixed = checkpointed(mixed)
-    rows = keyed.join(mixed.select("k"), "k", "left_semi").select("node", "k").distinct().join(nodes.select("node", "fp", "size", "group"), "node")
+    rows = checkpointed(keyed.join(mixed.select("k"), "k", "left_semi").select("node", "k").distinct())
+    wanted = rows.select("node").distinct()
+    # a node's id can have several texts, any of which may link: they are the same node in any case
+    sets = hash_sets(texts.join(wanted, "node", "left_semi").distinct())
+    rows = rows.join(nodes.select("node", "fp", "size", "group").join(sets, "node"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, ["k", "_i", "_j"]):
             key, i, j, side, node, size, group = (table.column(c).to_numpy() for c in ("k", "_i", "_j", "_side", "node", "size", "group"))
-            fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype="<u8").astype(np.uint64, copy=False).reshape(-1, WORDS)
             ends = bounds([key, i, j])
+            fps, sets = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype="<u8").astype(np.uint64, copy=False).reshape(-1, WORDS), table.column("set")
             for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 part = slice(start, end)
                 if group[part].min() == group[part].max():
                     continue
-                for a, b in cross_pairs(fps[part], side[part], size[part], group[part]):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(node[a + start]), pa.array(node[b + start])], names=["src", "dst"])
+                found = list(block_links(fps[part], side[part], size[part], group[part], sets.slice(start, end - start)))
+                if found:
+                    ab = np.array(found) + start
+                    yield pa.RecordBatch.from_arrays([pa.array(node[ab[:, 0]]), pa.array(node[ab[:, 1]])], names=["src", "dst"])
 
     return dealt(rows, "k", "node", tile, mixed).mapInArrow(run, "src long, dst long")
 
@@ -280,7 +320,7 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     links = verified(near_links(nodes, radius), texts).union(tied)
     found = connected_components(links)
     grouped = nodes.join(found, "node", "left").select("node", "fp", "keys", "size", F.coalesce("component", "node").alias("group"))
-    more = verified(wide_pairs(grouped), texts)
+    more = checkpointed(wide_links(grouped, texts))
     if not more.isEmpty():
         found = connected_components(links.union(more))
     placed = nodes.select("same", "node").join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component"))

@@ -123,3 +123,24 @@ def test_pairs_at_the_threshold_are_decided_exactly(spark):
     found = {r.doc_id: r.component for r in near_copies.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(found[i + 1] == (i if want[i] and meet[i] else i + 1) for i in want)
     assert sum(meet[i] for i in want if want[i]) >= 0.97 * sum(want.values())
+
+
+def unlike(rng, n, words=300, changed=9):
+    """Texts that differ from one another in scattered words, so that they are near the threshold but below it."""
+    base = [f"b{i}" for i in range(words)]
+    return [(i, " ".join(edited(rng, base, [f"x{i}y{k}" for k in range(40)], changed))) for i in range(n)]
+
+
+@pytest.mark.parametrize("tile", [near_copies.SET_TILE, 20])
+def test_groups_just_below_the_threshold_make_no_rows(spark, tile):
+    rows = unlike(random.Random(9), 120)
+    rows += [(1000 + i, t + f" tail{i}") for i, t in rows[:10]]  # and a few links among them
+    sets = {i: plain_shingles(t) for i, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marked = near_copies.per_row(df, ["doc_id", "text"], lambda k, t: (k, *near_copies.describe(t)), "doc_id long, same binary, fp binary, keys array<long>, size long")
+    nodes = marked.selectExpr("doc_id AS node", "fp", "keys", "size", "doc_id AS group")
+    links = [(r.src, r.dst) for r in near_copies.wide_links(nodes, df.selectExpr("doc_id AS node", "text"), tile).collect()]
+    want = components(sets, lambda a, b: alike(a, b) >= 0.8)
+    assert all(alike(sets[a], sets[b]) >= 0.8 for a, b in links) and 10 <= len(set(links)) < 100
+    assert {r.doc_id: r.component for r in near_copies.near_components(df).collect()} == want
+    assert sum(1 for i in want if want[i] != i) >= 10
