@@ -28,7 +28,7 @@ from fixlake.operators.orders import timeline
 from fixlake.plans.dsl import QueryError, parse
 from fixlake.sources.layout import SniffError
 from fixlake.sources.log import read_log
-from fixlake.streaming.tail import follow
+from fixlake.streaming.tail import decided, follow
 
 # How layouts are named
 SEPARATORS = {"\x01": "SOH (0x01)", "|": "| (0x7C)", "^": "^ (0x5E)", ";": "; (0x3B)"}
@@ -113,10 +113,14 @@ def _stats(spark, args) -> int:
 
 def _grep(spark, args) -> int:
     parse(args.filter)
-    found = shown(render.FORMATS[args.format](views.filtered(read_log(spark, args.file).messages, args.filter)), "ordinal")
+    log = read_log(spark, args.file)
+    # the first pass ends where the stream begins, so that what is written meanwhile is shown once
+    end = decided(args.file, 0, log.format.separator) if args.follow else None
+    there = log.messages if end is None else log.messages.where(F.col("offset") < end)
+    found = shown(render.FORMATS[args.format](views.filtered(there, args.filter)), "ordinal")
     if args.follow:
         show = lambda batch, _: shown(render.FORMATS[args.format](batch.withColumns({"ordinal": F.col("offset"), "raw_len": F.octet_length("raw").cast("long")})), "ordinal")
-        follow(spark, args.file, args.filter, start="end").writeStream.foreachBatch(show).start().awaitTermination()
+        follow(spark, args.file, args.filter, log.format.separator, str(end)).writeStream.foreachBatch(show).start().awaitTermination()
     return 0 if found else 1
 
 

@@ -80,3 +80,30 @@ def of_numbers(found: DataFrame) -> DataFrame:
     between = ends.withColumns({"to_seq": F.lead("low").over(across), "ordinal_after": F.lead("low_first").over(across)})
     columns = [*side, F.col("seq").alias("from_seq"), "to_seq", F.col("last").alias("ordinal_before"), "ordinal_after"]
     return inside.select(*columns).unionByName(between.select(*columns)).where("to_seq > from_seq + 1")
+
+
+#: Ordinals of a block, at the ends of which runs end too, so that a busy session is ordered in many tasks.
+BLOCK = 1 << 16
+
+
+def ordinal_runs(messages: DataFrame) -> DataFrame:
+    """(sender, target, first, last): which messages a session has, in runs of ordinals in a row within blocks of BLOCK."""
+    base = with_session(messages).where("sender IS NOT NULL")
+    return merged_runs(base.select("sender", "target", F.col("ordinal").alias("first"), F.col("ordinal").alias("last")))
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """Runs of one part of a log or of several, with those that touch made one. New messages need no second look at old ones."""
+    ordered = Window.partitionBy("sender", "target", F.floor(F.col("first") / BLOCK)).orderBy("first")
+    new = F.coalesce((F.col("first") > F.lag("last").over(ordered) + 1).cast("int"), F.lit(1))
+    numbered = runs.withColumn("block", F.floor(F.col("first") / BLOCK)).withColumn("new", new)
+    numbered = numbered.withColumn("run", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("sender", "target", "block", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("sender", "target", "first", "last")
+
+
+def of_ordinals(runs: DataFrame, ordinals: DataFrame) -> DataFrame:
+    """The rows (with ordinal) with their session, null where they have none."""
+    held = runs.withColumn("__block", F.floor(F.col("first") / BLOCK))
+    asked = ordinals.withColumn("__block", F.floor(F.col("ordinal") / BLOCK))
+    found = asked.join(held, (asked["__block"] == held["__block"]) & (F.col("ordinal") >= F.col("first")) & (F.col("ordinal") <= F.col("last")), "left")
+    return found.select(*ordinals.columns, "sender", "target")

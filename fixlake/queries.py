@@ -722,3 +722,23 @@ def source_filtered(spark, sf_dir):
     paths = [name for name, _ in file_sizes(spark, [_written(spark, _orders(spark, sf_dir))])]
     rows = spark.read.format("fix").option("paths", json.dumps(paths)).load()
     return rows.where("t35 = '8' AND t39 = '2' AND t11 IS NOT NULL AND t17 LIKE 'E1%'").select("t11", "t17", "t39", "t32")
+
+
+@query(_events_sql() + """, r AS (SELECT *, pos - row_number() OVER (PARTITION BY sender, target, pos // 65536 ORDER BY pos) AS g FROM m)
+SELECT sender, target, min(pos) AS first, max(pos) AS last FROM r GROUP BY sender, target, pos // 65536, g""")
+def session_ordinals(spark, sf_dir):
+    """Which messages each session has, from two parts of the log whose runs are merged."""
+    messages = session_log(spark, sf_dir).messages
+    cut = _table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] // 3
+    parts = [sessions.ordinal_runs(messages.where(F.col("ordinal") < cut)), sessions.ordinal_runs(messages.where(F.col("ordinal") >= cut))]
+    return sessions.merged_runs(parts[0].unionByName(parts[1]))
+
+
+@query("""SELECT event_id::VARCHAR AS t11, NULL AS code FROM events WHERE event_id < (SELECT max(event_id) FROM events) UNION ALL SELECT NULL, 'UnexpectedEof'""")
+def file_crlf_partial(spark, sf_dir):
+    """Lines that end with carriage return and line feed, and a last message of which only the beginning is there."""
+    rows = _plain_events(spark, sf_dir)
+    last = _table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    text = F.when(F.col("pos") == last, F.expr("left(record, length(record) - 9)")).otherwise(F.concat("record", F.lit("\r")))
+    log = read_log(spark, _written(spark, rows, text))
+    return log.messages.select(read(log.messages, 11).alias("t11"), F.lit(None).cast("string").alias("code")).unionByName(log.errors.select(F.lit(None).cast("string").alias("t11"), "code"))

@@ -66,3 +66,25 @@ def test_follow(spark, tmp_path, msg):
         assert spark.table("followed").count() == 2
     finally:
         query.stop()
+
+
+def test_follow_from_a_place(tmp_path, msg):
+    """A stream that begins where a first pass has ended takes what was written meanwhile, and nothing twice."""
+    path = tmp_path / "a.log"
+    path.write_text(msg((35, "D"), (11, "A")) + msg((35, "D"), (11, "B"))[:30])
+    end = decided(str(path), 0, "\x01")
+    path.write_text(msg((35, "D"), (11, "A")) + msg((35, "D"), (11, "B")) + msg((35, "D"), (11, "C")))
+    reader = TailReader([str(path)], "\x01", str(end))
+    assert ids(reader, reader.initialOffset(), reader.latestOffset()) == ["B", "C"]
+
+
+def test_ordinal_runs(spark, log_of, monkeypatch):
+    monkeypatch.setattr(sessions, "BLOCK", 16)
+    rows = [((35, "0"), (49, "AB"[i // 5 % 2]), (56, "G"), (34, "1")) if i % 7 else ((35, "0"), (34, "1")) for i in range(60)]
+    messages = log_of(*rows).messages
+    parts = [sessions.ordinal_runs(messages.where(c)) for c in ("ordinal < 23", "ordinal >= 23 AND ordinal < 24", "ordinal >= 24")]
+    merged = sessions.merged_runs(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    assert sorted(map(repr, merged.collect())) == sorted(map(repr, sessions.ordinal_runs(messages).collect()))
+    found = {r.ordinal: r.sender for r in sessions.of_ordinals(merged, spark.range(70).withColumnRenamed("id", "ordinal")).collect()}
+    assert found == {i: ("AB"[i // 5 % 2] if i < 60 and i % 7 else None) for i in range(70)}
+    assert all(r["last"] // 16 == r["first"] // 16 for r in merged.collect())
