@@ -13,6 +13,8 @@ from fixlake.functions.values import sending_ns
 MOST_BINS = 10_000_000
 #: Bins of a run that is unfolded at once.
 RUN = 4096
+#: Bins of a task.
+PER_TASK = 250_000
 # Eighths of a column
 LEVELS = " ▁▂▃▄▅▆▇█"
 
@@ -45,10 +47,12 @@ def histogram(messages: DataFrame, bucket_ns: int) -> DataFrame:
     every = messages.sparkSession.range(-(-n // RUN)).withColumnRenamed("id", "run").join(runs, "run", "left")
     every = every.withColumn("size", F.least(F.lit(RUN), F.lit(n) - F.col("run") * RUN).cast("int"))
     every = every.withColumn("marks", F.expr("concat(array(named_struct('at', -1, 'count', 0L)), coalesce(bins, array()))"))
-    counts = F.expr("flatten(transform(marks, (x, i) -> concat(IF(x.at >= 0, array(x.count), array()), array_repeat(0L, coalesce(get(marks, i + 1).at, size) - x.at - 1))))")
-    dense = every.select("run", F.posexplode(counts).alias("i", "count"))
+    gaps = F.explode(F.expr("transform(marks, (x, i) -> struct(x.at AS at, coalesce(get(marks, i + 1).at, size) AS next, x.count AS count))"))
+    # runs are dealt to as many tasks as their bins are worth, of which their own number tells nothing
+    rows = every.repartition(n // PER_TASK + 1, "run").select("run", gaps.alias("g")).where("g.next > greatest(g.at, 0)")
+    dense = rows.select("run", "g", F.explode(F.expr("sequence(greatest(g.at, 0), g.next - 1)")).alias("i"))
     start = F.lit(first) + (F.col("run") * RUN + F.col("i")) * bucket
-    return dense.select(start.alias("start_ns"), (start + bucket).alias("end_ns"), "count")
+    return dense.select(start.alias("start_ns"), (start + bucket).alias("end_ns"), F.when(F.col("i") == F.col("g.at"), F.col("g.count")).otherwise(0).alias("count"))
 
 
 def peaks(bins: DataFrame, k: int) -> DataFrame:
