@@ -17,6 +17,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder. For what is joined round after round: a checkpoint keeps the size that its plan was estimated to have, and each such join squares it, so that in the end planning
+    takes longer than the work; a table has the size that it has."""
+    folder = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only for a local master, as in tests, whose tasks share it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
