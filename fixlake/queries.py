@@ -624,6 +624,40 @@ def followed_consolidated(spark, sf_dir):
     return _amounts(incremental.Consolidation(spark, f"{folder}/orders").orders())
 
 
+def _late_log(spark: SparkSession, sf_dir: str) -> Log:
+    """Orders of which each has two identifiers that both report the same execution before the second is linked to the first, unless the order's status is F; odd ones report it again behind that."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)")
+    a, b, fill = F.concat(F.lit("A"), key), F.concat(F.lit("B"), key), [(35, "8"), (17, F.concat(F.lit("E"), key)), (150, "F")]
+    rows = [
+        (0, None, [*fill, (11, b), (39, "1"), (32, "1"), (31, price), (14, "1"), (55, "L")]), (1, None, [(35, "D"), (11, a), (38, "100"), (54, "2")]),
+        (2, None, [*fill, (11, a), (39, "0"), (32, "2"), (31, "10"), (14, "3")]), (3, F.col("o_orderstatus") != "F", [(35, "G"), (11, b), (41, a), (55, "OWN"), (54, "1")]),
+        (4, key % 2 == 1, [*fill, (11, b), (39, "2"), (32, "5"), (31, "10"), (14, "4")]),
+    ]
+    made = F.array(*[F.when(F.lit(True) if when is None else when, F.struct((key * 8 + n).alias("pos"), synth.framed(synth.body(*fields)).alias("record"))) for n, when, fields in rows])
+    return read_records(_table(spark, sf_dir, "orders").select(F.explode(F.filter(made, lambda x: x.isNotNull())).alias("m")).select("m.*"), "record", "pos")
+
+
+_LATE = """WITH o AS (SELECT o_orderkey AS k, o_totalprice::DECIMAL(18,2)::DOUBLE AS price, o_orderstatus = 'F' AS apart, o_orderkey % 2 = 1 AS again FROM orders)"""
+
+
+@query(_LATE + """
+SELECT 'A' || k AS root_clordid, 'A' || k || '→B' || k AS family, 'L' AS symbol, '2' AS side, 100 AS order_qty, CASE WHEN again THEN 4 ELSE 3 END AS cum_qty, round(price + 20, 2) AS notional, 2 AS fills,
+  CASE WHEN again THEN '2' ELSE '1' END AS final_ord_status FROM o WHERE NOT apart
+UNION ALL SELECT 'A' || k, 'A' || k, NULL, '2', 100, 3, 20, 1, '0' FROM o WHERE apart
+UNION ALL SELECT 'B' || k, 'B' || k, 'L', NULL, NULL, CASE WHEN again THEN 4 ELSE 1 END, round(price, 2), 1, CASE WHEN again THEN '2' ELSE '1' END FROM o WHERE apart""")
+def late_consolidated(spark, sf_dir):
+    """Families whose parts had fills, a symbol and a status before they were linked: both fills count, a later one does not."""
+    found = consolidate.consolidated(_late_log(spark, sf_dir).messages)
+    whole = {c: F.col(c).cast("long") for c in ("order_qty", "cum_qty", "fills")}
+    return found.withColumns(whole | {"family": F.concat_ws("→", "family"), "notional": F.round("notional", 2)}).drop("avg_px", "first_seen_ns", "last_seen_ns")
+
+
+@query(_LATE + """SELECT 0 AS source_idx, 'rows' AS source, sum(3 + CASE WHEN apart THEN 0 ELSE 1 END + CASE WHEN again THEN 1 ELSE 0 END)::BIGINT AS messages,
+sum(2 + CASE WHEN again THEN 1 ELSE 0 END)::BIGINT AS fills_seen, count(*) FILTER (again) AS fills_deduped FROM o""")
+def late_source_stats(spark, sf_dir):
+    return consolidate.source_stats(_late_log(spark, sf_dir).messages)
+
+
 _DAMAGE = """CASE WHEN event_id % 7 = 0 THEN 'InvalidBodyLength' WHEN event_id % 11 = 0 THEN 'InvalidTag' WHEN event_id % 13 = 0 THEN 'lost' ELSE 'good' END"""
 
 
