@@ -15,20 +15,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dealt(df: DataFrame, key: str, row_id: str, tile: int, sizes: DataFrame | None = None) -> DataFrame:
-    """Add _i and _j (the block's tiles; i <= j) and _side (which of the two the row belongs to), repartitioned and sorted by
-    block. `sizes` (key, n) gives the keys' sizes if they are known already; rows of keys that it lacks are dropped."""
+def tiled(df: DataFrame, key: str, row_id: str, tile: int, sizes: DataFrame | None = None) -> DataFrame:
+    """Add _i and _j (the block's tiles; i <= j) and _side (which of the two the row belongs to). `sizes` (key, n) gives the keys' sizes if they are known already; rows of keys that it lacks are dropped."""
     keep = sizes is not None
     sizes = (sizes if keep else df.groupBy(key).count().withColumnRenamed("count", "n")).select(
         key, F.ceil(F.col("n") / tile).cast("int").alias("_k")
     )
     if not keep:
         sizes = sizes.where("_k > 1")  # usually none
-    tiled = df.join(sizes, key, "inner" if keep else "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
-    tiled = tiled.withColumn("_side", F.pmod(F.xxhash64(F.lit(17), row_id), "_k").cast("int"))
-    tiled = tiled.withColumn("_o", F.explode(F.when(F.col("_k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_k") - 1))))
-    tiled = tiled.withColumn("_i", F.least("_side", "_o")).withColumn("_j", F.greatest("_side", "_o")).drop("_k", "_o")
-    return tiled.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j", "_side")
+    found = df.join(sizes, key, "inner" if keep else "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    found = found.withColumn("_side", F.pmod(F.xxhash64(F.lit(17), row_id), "_k").cast("int"))
+    found = found.withColumn("_o", F.explode(F.when(F.col("_k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_k") - 1))))
+    return found.withColumn("_i", F.least("_side", "_o")).withColumn("_j", F.greatest("_side", "_o")).drop("_k", "_o")
+
+
+def gathered(df: DataFrame, key: str) -> DataFrame:
+    """Tiled rows, repartitioned and sorted by block."""
+    return df.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j", "_side")
+
+
+def dealt(df: DataFrame, key: str, row_id: str, tile: int) -> DataFrame:
+    """The rows with _i, _j and _side, repartitioned and sorted by block."""
+    return gathered(tiled(df, key, row_id, tile), key)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:

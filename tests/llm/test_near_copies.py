@@ -144,3 +144,16 @@ def test_groups_just_below_the_threshold_make_no_rows(spark, tile):
     assert all(alike(sets[a], sets[b]) >= 0.8 for a, b in links) and 10 <= len(set(links)) < 100
     assert {r.doc_id: r.component for r in near_copies.near_components(df).collect()} == want
     assert sum(1 for i in want if want[i] != i) >= 10
+
+
+def test_texts_of_rows_that_meet_none_are_not_gathered(spark, monkeypatch):
+    """Links are looked for among the rows that share a key only, and their texts are gathered once for both rounds."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))) for i in range(200)]
+    rows += [(500 + i, rows[i][1] + " tail") for i in range(6)]
+    seen = {}
+    for name in ("near_links", "wide_links"):
+        monkeypatch.setattr(near_copies, name, lambda *a, name=name, inner=getattr(near_copies, name): (seen.update({name: [d.select("node").distinct().count() for d in a if hasattr(d, "select")]}), inner(*a))[1])
+    found = {r.doc_id: r.component for r in near_copies.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i - 500 if i >= 500 else i for i, _ in rows}
+    assert seen["near_links"] == [12] and seen["wide_links"] == [12, 12]
