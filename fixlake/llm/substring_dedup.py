@@ -8,7 +8,9 @@ chunks, equal ones are one string that is owned by its first occurrence. Shards
 permuted common prefixes tell the classes of equal windows, and each class is owned by the first of its windows. A window of a text is removed unless it is its class's owner. An anchor with one string, in which
 it occurs once, has nothing to be compared with.
 
-Anchors with strings of over `HOT` bytes are not gathered: each of their windows goes to a shard of its own hash, with all windows that are equal to it.
+Anchors with strings of over `HOT` bytes are not gathered. Their strings are compared where they are, a few at a time, by suffix arrays of up to about `LOCAL` bytes twice over: windows that repeat there
+are removed spans already, which is what nearly all of a long line of few symbols or of a passage with changing neighbours is. Each window that is left goes to a shard of its own hash, with all windows
+that are equal to it: one of each suffix array at most.
 
 Equal chunks are told by their anchor, their length and a 64-bit digest, so texts could be mistaken only if two 64-bit hashes agree at once.
 
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,10 @@ WINDOW = 100
 GRAM = 32
 #: Bytes of an anchor's different strings beyond which its windows are spread over shards.
 HOT = 2_000_000
+#: Windows of a hot anchor's string that are compared at once where they are.
+LOCAL = 1 << 17
+#: Pieces that are made at a time.
+STEP = 1 << 13
 #: Bytes that are hashed at a time.
 SEGMENT = 1 << 16
 
@@ -155,10 +162,57 @@ def _occurrences(docs: DataFrame, text: str, window: int, gram: int) -> DataFram
     return docs.select("__d", "__t", text).mapInArrow(run, "d long, t long, s long, n long, a long, h long, twice boolean")
 
 
-def _pieces(docs: DataFrame, text: str, wanted: DataFrame, window: int) -> DataFrame:
-    """(shard's key, document, place, bytes) of the wanted chunks; of hot ones each window."""
+def _ranks(d: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Documents by their order; rows of the same one share a rank."""
+    order = np.lexsort((t, d))
+    new = np.append(True, (d[order][1:] != d[order][:-1]) | (t[order][1:] != t[order][:-1]))
+    ranks = np.empty(len(d), dtype=np.int64)
+    ranks[order] = np.cumsum(new[: len(d)])
+    return ranks
+
+
+def _runs(found: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first place in it, number) of runs of places, in order, of strings that begin at begins."""
+    string = np.searchsorted(begins, found, side="right") - 1
+    first = np.flatnonzero(np.append(True, (np.diff(found) > 1) | (string[1:] != string[:-1]))[: len(found)])
+    own = string[first]
+    return own, found[first] - begins[own], np.diff(np.append(first, len(found)))
+
+
+def local_runs(view: memoryview, at: np.ndarray, n: np.ndarray, owners: np.ndarray, places: np.ndarray, window: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(string, first window in it, number of windows, whether they are repeated) of runs of the windows of strings with n windows at `at`: repeated ones have an equal window that is earlier among those compared at once."""
+    parts = -(-n // most)
+    string = np.repeat(np.arange(len(n)), parts)
+    skip = (np.arange(len(string)) - np.repeat(np.cumsum(parts) - parts, parts)) * most
+    size = np.minimum(n[string] - skip, most)
+    total, i = np.cumsum(size + window), 0
+    while i < len(string):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 2 * most, side="right")))
+        own, held = string[i:j], size[i:j] + window - 1
+        data = np.frombuffer(b"\0".join([bytes(view[b : b + k]) for b, k in zip((at[own] + skip[i:j]).tolist(), held.tolist(), strict=True)]) + b"\0", dtype=np.uint8)
+        found = repeated_windows(data, held, owners[own], places[own] + skip[i:j], window)
+        begins = np.cumsum(held + 1) - held - 1
+        first = np.ones(len(data), dtype=bool)
+        first[found] = False
+        for back in range(window):  # the separator and what is too near to it begin no window
+            first[begins + held - back] = False
+        for which, again in ((np.flatnonzero(first), False), (found, True)):
+            part, begin, count = _runs(which, begins)
+            yield own[part], skip[i:j][part] + begin, count, np.full(len(part), again)
+        i = j
+
+
+def _pieces(docs: DataFrame, text: str, wanted: DataFrame, window: int, local: int = LOCAL) -> DataFrame:
+    """(shard's key, document, place, end, bytes) of the wanted chunks; of hot ones each window that is not repeated nearby. Rows without bytes are spans that are."""
     lists = wanted.groupBy(F.col("d").alias("__d"), F.col("t").alias("__t")).agg(F.collect_list(F.struct("s", "n", "a", "hot")).alias("__c"))
 
+    def made(view: memoryview, begins: np.ndarray, d: np.ndarray, t: np.ndarray, s: np.ndarray, e: np.ndarray, keys: np.ndarray | None, bare: bool = False) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(s), STEP):
+            part = slice(i, i + STEP)
+            texts = [None] * len(s[part]) if bare else [bytes(view[b : b + k]) for b, k in zip(begins[part].tolist(), (e[part] - s[part]).tolist(), strict=True)]
+            of = keys[part] if keys is not None else np.array([xxhash.xxh3_64_intdigest(x) for x in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (d, t, s, e)] + [pa.array(of), pa.array(texts, pa.binary())], names=["d", "t", "s", "e", "k", "piece"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             data, offsets = _bytes_of(batch.column(2))
@@ -169,22 +223,25 @@ def _pieces(docs: DataFrame, text: str, wanted: DataFrame, window: int) -> DataF
             fields = listed.values.flatten()
             row = np.repeat(np.arange(len(d)), np.diff(ends))
             s, n, a, hot = (x.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for x in fields)
-            if hot.any():
-                many = np.where(hot, n, 1)
-                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                row, s, n, a, hot = (np.repeat(x, many) for x in (row, s, n, a, hot))
-                s, n = s + at, np.where(hot, 1, n)
-            begins = (offsets[row] + s).tolist()
-            texts = [bytes(view[b : b + k]) for b, k in zip(begins, (n + window - 1).tolist(), strict=True)]
-            keys = a.copy()
-            for i in np.flatnonzero(hot).tolist():
-                keys[i] = np.uint64(xxhash.xxh3_64_intdigest(texts[i])).astype(np.int64)
-            step = 1 << 15
-            for i in range(0, len(keys), step):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step]) for x in (keys, d[row], t[row], s)] + [pa.array(texts[i : i + step], pa.binary())], names=["k", "d", "t", "s", "piece"])
+            at, whole = offsets[row] + s, np.flatnonzero(~hot)
+            yield from made(view, at[whole], d[row[whole]], t[row[whole]], s[whole], (s + n)[whole] + window - 1, a[whole])
+            if len(whole) == len(s):
+                continue
+            row, s, n, at = (x[hot] for x in (row, s, n, at))
+            for string, first, count, again in local_runs(view, at, n, _ranks(d, t)[row], s, window, local):
+                if not len(string):
+                    continue
+                if again[0]:
+                    begins = s[string] + first
+                    spread = (d[row[string]] * -7046029254386353131 + begins) * -4658895280553007687  # no shard's key, only dealt to tasks
+                    yield from made(view, begins, d[row[string]], t[row[string]], begins, begins + count + window - 1, spread, bare=True)
+                    continue
+                string, first = np.repeat(string, count), np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                begins = s[string] + first
+                yield from made(view, at[string] + first, d[row[string]], t[row[string]], begins, begins + window, None)
 
     joined = docs.select("__d", "__t", text).join(lists, ["__d", "__t"])
-    return joined.select("__d", "__t", text, "__c").mapInArrow(run, "k long, d long, t long, s long, piece binary")
+    return joined.select("__d", "__t", text, "__c").mapInArrow(run, "d long, t long, s long, e long, k long, piece binary")
 
 
 def repeated_windows(data: np.ndarray, sizes: np.ndarray, owners: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
@@ -216,26 +273,21 @@ def _shards(pieces: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, ["k"]):
+            bare = table.column("piece").is_null()
+            if pc.any(bare).as_py():
+                yield from table.filter(bare).select(["d", "t", "s", "e"]).rename_columns(["d", "t", "b", "e"]).combine_chunks().to_batches()
+                table = table.filter(pc.invert(bare))
+                if not table.num_rows:
+                    continue
             d, t, s = (table.column(c).to_numpy() for c in ("d", "t", "s"))
             texts = table.column("piece").to_pylist()
             sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
             data = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
-            order = np.lexsort((t, d))
-            new = np.append(True, (d[order][1:] != d[order][:-1]) | (t[order][1:] != t[order][:-1]))
-            owners = np.empty(len(d), dtype=np.int64)
-            owners[order] = np.cumsum(new)
-            found = repeated_windows(data, sizes, owners, s, window)
+            found = repeated_windows(data, sizes, _ranks(d, t), s, window)
             if not len(found):
                 continue
-            begins = np.cumsum(sizes + 1) - sizes - 1
-            string = np.searchsorted(begins, found, side="right") - 1
-            new = np.append(True, (np.diff(found) > 1) | (string[1:] != string[:-1]))
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(found)) - 1
-            own = string[first]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (d[own], t[own], s[own] + found[first] - begins[own], s[own] + found[last] - begins[own] + window)], names=["d", "t", "b", "e"]
-            )
+            own, first, count = _runs(found, np.cumsum(sizes + 1) - sizes - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[own], t[own], s[own] + first, s[own] + first + count - 1 + window)], names=["d", "t", "b", "e"])
 
     return pieces.repartition("k").sortWithinPartitions("k").mapInArrow(run, "d long, t long, b long, e long")
 

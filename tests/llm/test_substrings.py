@@ -115,3 +115,18 @@ def test_chunks_cover_each_window_once():
             seen[b : b + n] += 1
     want = np.concatenate([np.arange(len(t)) + 100 <= len(t) for t in texts])
     assert (seen == want).all()
+
+
+@pytest.mark.parametrize("local", [sd.LOCAL, 400])
+def test_hot_strings_are_not_sent_window_by_window(spark, local):
+    """Long lines of few symbols under one hot anchor make rows for their different windows, not for each byte, and equal the definition."""
+    line = "the same line again and again, " * 90
+    rows = [(i, line[i % 7 :] + "x" * (i % 5)) for i in range(40)] + [(40 + i, "a" * (1500 + i)) for i in range(10)] + [(60, line * 3), (60, line * 3), (61, line[5:400] + "?" + line)]
+    docs = sd._based(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
+    found = sd._occurrences(docs, "text", 100, 32)
+    wanted = found.groupBy("a", "h", "n").agg(F.min(F.struct("d", "t", "s")).alias("o")).select("o.*", "n", "a", F.lit(True).alias("hot"))
+    windows = wanted.agg(F.sum("n")).first()[0]
+    assert windows > 20_000 and sd._pieces(docs, "text", wanted, 100, local).count() < windows / 5
+    got = {r["doc_id"]: bytes(r["kept"]) for r in sd.remove_repeats(docs.select("doc_id", "text"), hot=1).collect()}
+    texts = {i: t.encode() for i, t in rows}
+    assert got == {i: w[0] for i, w in zip(texts, plain(list(texts.items())), strict=True)}
