@@ -87,6 +87,14 @@ def test_fills_without_identifier_and_unbound(log_of):
     assert tuple(consolidate.source_stats(log.messages).first())[2:] == (6, 4, 1)
 
 
+def test_equal_notionals_are_ranked_by_root(log_of):
+    """Products of doubles are 2691483.3000000003 and 3592221.4999999995; as decimals they tie with what others sum up to."""
+    log = log_of(exec_report("B", "E1", "33", "81560.1", "33"), exec_report("A", "E2", "1", "2691483.3", "1"), exec_report("C", "E3", "50", "71844.43", "50"), exec_report("D", "E4", "1", "3592221.5", "1"),
+                 exec_report("N", "E5", "0.000001", "2000000", "1"), exec_report("T", "E6", "1e300", "1e8", "1"))
+    found = consolidate.ranked(consolidate.consolidated(log.messages)).orderBy("rank").collect()
+    assert [(r.root_clordid, r.notional) for r in found] == [("T", 1e308), ("C", 3592221.5), ("D", 3592221.5), ("A", 2691483.3), ("B", 2691483.3), ("N", 2.0)]
+
+
 def test_family_rules(log_of):
     # the parent must have been seen before; several parents and cycles are replayed in order
     log = log_of([(35, "G"), (11, "B"), (41, "A")], [(35, "D"), (11, "A")], [(35, "D"), (11, "P")], [(35, "G"), (11, "Q"), (41, "P")], [(35, "D"), (11, "R")], [(35, "G"), (11, "Q"), (41, "R")], [(35, "G"), (11, "R"), (41, "Q")])
