@@ -3,7 +3,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from fixlake.functions.tokens import checksum, declared_checksum, fields, tag
+from fixlake.functions.tokens import checksum, declared_checksum, fields, tag, taken
 from fixlake.sources.frames import Framer
 from fixlake.sources.layout import SniffError, sniff
 from fixlake.sources.log import read_log, scan_lines
@@ -82,3 +82,12 @@ def test_empty_file(spark, tmp_path):
 
     (tmp_path / "a.log").write_text("")
     assert read_log(spark, str(tmp_path / "a.log"), LogFormat()).messages.count() == 0
+
+
+def test_many_tags_at_once_equal_single_ones(log_of, msg):
+    odd = [[(35, "D"), (11, "A"), (11, "B"), (58, "x11=y")], [(35, "8"), ("0011", "Z"), (11, "Y")], [(35, "8"), (58, "\xe9\xff"), (11, "\xe9")], [(35, "0"), (111, "n"), (11, "")], [(35, "0")]]
+    messages, named = log_of(*[msg(*r) for r in odd]).messages, {"kind": 35, "id": 11, "text": 58, "none": 41}
+    single = messages.select("ordinal", *[tag(n).alias(c) for c, n in named.items()])
+    at_once = taken(messages, ["ordinal"], named)
+    binary = lambda df: [tuple(r) for r in df.select("ordinal", *[F.col(c).cast("binary") for c in named]).orderBy("ordinal").collect()]
+    assert binary(at_once) == binary(single) and [r[2] for r in binary(at_once)] == [b"A", b"Z", b"\xe9", b"", None]
