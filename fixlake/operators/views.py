@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fixlake.functions.graph import checkpointed
+from fixlake.functions.graph import checkpointed, written
 from fixlake.functions.tokens import HOT, fields, read, stored_tags
 from fixlake.functions.values import u32
 from fixlake.operators.stats import postings
@@ -19,23 +22,40 @@ def filtered(messages: DataFrame, user: str | None, hide_heartbeats: bool = Fals
 
 
 def by_postings(messages: DataFrame, looked_up: DataFrame, user: str) -> DataFrame:
-    """As filtered, for a conjunction of equalities on hot tags by semi-joins with postings (tag, value, ordinal); other filters scan. Of saved postings only the buckets of
-    the filter's values are read."""
+    """As filtered, for a conjunction of equalities on hot tags by postings (tag, value, ordinal); other filters scan. Of saved postings only the buckets of the filter's values are read,
+    and joined. Others are made in one pass for all values; if the rarest one has up to LOOKUP, what is left of its ordinals goes to the scan of the messages, which frames no others then, else they are joined."""
     pairs = hot_equalities(parse(user))
     if pairs is None:
         return filtered(messages, user)
-    for number, value in pairs:
-        hits = looked_up.where((F.col("tag") == number) & (F.col("value") == value))
-        if "bucket" in looked_up.columns:
-            hits = hits.where(F.col("bucket") == bucket(F.lit(number), F.lit(value)))
-        messages = messages.join(hits.select("ordinal"), "ordinal", "left_semi")
-    return messages
+    pairs = list(dict.fromkeys(pairs))
+    holds = [(F.col("tag") == number) & (F.col("value") == value) for number, value in pairs]
+    if "bucket" in looked_up.columns:
+        for one, (number, value) in zip(holds, pairs, strict=True):
+            hits = looked_up.where(one & (F.col("bucket") == bucket(F.lit(number), F.lit(value))))
+            messages = messages.join(hits.select("ordinal"), "ordinal", "left_semi")
+        return messages
+    which = F.coalesce(*[F.when(one, F.lit(i)) for i, one in enumerate(holds)])
+    hits = written(looked_up.where(reduce(or_, holds)).select(which.alias("pair"), "ordinal"))
+    counts = {r["pair"]: r["n"] for r in hits.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = sorted(range(len(pairs)), key=lambda i: counts.get(i, 0))
+    if counts.get(order[0], 0) > LOOKUP:
+        for i in order:
+            messages = messages.join(hits.where(F.col("pair") == i).select("ordinal"), "ordinal", "left_semi")
+        return messages
+    found = None
+    for i in order:
+        rows = hits.where(F.col("pair") == i)
+        rows = rows if found is None else rows.where(F.col("ordinal").isin(found))
+        found = sorted({r["ordinal"] for r in rows.select("ordinal").collect()})
+    return messages.where(F.col("ordinal").isin(found))
 
 
 def index(messages: DataFrame, hot: tuple[int, ...] = HOT) -> DataFrame:
     return postings(messages, hot)
 
 
+#: Ordinals that are looked up in the scan.
+LOOKUP = 10_000
 #: Folders of saved postings, and tasks that share one, as a frequent value is in one folder.
 BUCKETS, SHARED = 64, 16
 

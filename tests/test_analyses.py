@@ -115,6 +115,23 @@ def test_pipe_equals_soh(log_of):
     assert consolidated(log_of(*LIFE, sep="|").messages) == consolidated(log_of(*LIFE).messages)
 
 
+@pytest.mark.parametrize("lookup", [10_000, 1])
+def test_postings_are_made_once(spark, log_of, monkeypatch, lookup):
+    """An index that is not saved is made in one pass for all values of a filter, few or many."""
+    monkeypatch.setattr(views, "LOOKUP", lookup)
+    log, made = log_of(*LIFE, [(35, "8"), ("011", "ABC")], [(35, "8"), (11, "Q"), (11, "ABC")]), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        made.add(1)
+        yield from batches
+
+    index = views.index(log.messages).coalesce(1).mapInArrow(count, "tag long, value string, ordinal long")
+    for text, passes in (("35=8 AND 11=ABC", 1), ("35=8", 2), ("11=ABC AND 35=none", 3)):
+        found = views.by_postings(log.messages, index, text)
+        assert sorted(r[0] for r in found.select("ordinal").collect()) == sorted(r[0] for r in views.filtered(log.messages, text).select("ordinal").collect())
+        assert made.value == passes
+
+
 def test_views(log_of):
     log = log_of(*LIFE, [(35, "0"), (34, "9")], [(35, "0"), (34, "2")])
     m = log.messages.cache()
